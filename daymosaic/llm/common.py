@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_path, stored
+
+__all__ = ["maybe_broadcast", "pieces", "shared_path", "ship", "split_words", "stored", "text_remainder", "texts_of", "uniform", "with_row", "without_rows"]
+
 _shipped: set[str] = set()
-_own_roots: dict[str, str] = {}
 
 #: A side of a join is broadcast only when it was counted and has at most this many narrow rows.
 BROADCAST_ROWS = 1_000_000
@@ -37,34 +40,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or where it is unset a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _own_roots.setdefault(app, Path(tempfile.mkdtemp(prefix="shared-")).as_uri())
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and lost executors cost no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def maybe_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if df, which must be cheap to count, has at most `most` rows; else leave the join to shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -81,12 +56,12 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
 
 
-def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts (column number `text`) have about PIECE_BYTES together, one row at least."""
+def pieces(batch: pa.RecordBatch, text: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts (column number `text`) have at most `most` bytes together, or are one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start, total = 0, 0
     for i, n in enumerate(sizes):
-        if total and total + n > PIECE_BYTES:
+        if total and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
@@ -108,3 +83,19 @@ def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs (a stored table) without the given rows; the columns stay as they are and texts move only if rows are many."""
     whole = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     return whole.join(maybe_broadcast(rows.select("row")), "row", "left_anti").select("doc.*")
+
+
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of many texts (set apart by ASCII white space; A-Z in lower case): codes of all words, the distinct words
+    as bytes, and how many words each text has. Null is empty."""
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = lists.flatten().dictionary_encode()
+    words, codes = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    empty = np.flatnonzero(words == b"")  # stands before and after white space at a text's ends
+    if len(empty):
+        keep = codes != empty[0]
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+        codes = codes[keep]
+    return codes, words, sizes

@@ -17,73 +17,135 @@ in the order of their tokens; an empty table gives no rows; other columns are no
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import maybe_broadcast, pieces, shared_path, ship, stored, texts_of
+from .common import maybe_broadcast, pieces, shared_path, ship, split_words, stored
 
 MAGIC = 0x53_4E_41_52  # "RANS"
 HEADER = np.dtype([("magic", "<u4"), ("version", "<u4"), ("scale", "<u4"), ("lanes", "<u4"), ("table", "<u4"), ("ordinal", "<u4"), ("docs", "<u8"), ("tokens", "<u8"), ("blocks", "<u4"), ("words", "<u8")])
 INDEX = np.dtype([("tokens", "<u4"), ("words", "<u4"), ("first_token", "<u8"), ("first_word", "<u8"), ("crc", "<u4")])
 LOW = np.uint64(1 << 31)
 #: Id that ends every document, tokens of a block, coders of a block, tokens of a file.
-END, BLOCK, LANES, FILE_TOKENS = 2, 1 << 15, 32, 3_000_000
-#: Chunks of text that a worker remembers with their ids, and their bytes.
-CACHE, CACHE_BYTES = 400_000, 24 << 20
+END, BLOCK, LANES, FILE_TOKENS = 2, 1 << 15, 32, 2_000_000
+#: Chunks of text that a worker remembers with their ids; chunks that are encoded together.
+CACHE, TOGETHER = 300_000, 1_000
+#: Chunks of printable ASCII and Latin-1 letters: lower-casing and composing keep their length, and they hold no special token.
+PLAIN = re.compile(rb"(?:[!-;=-~]|<(?!\|)|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+")
 
 
 class ChunkCache:
-    """Tokenises texts chunk by chunk, as white space ends every token; what was seen before is looked up."""
+    """Tokenises texts chunk by chunk and looks up what was seen before, if white space ends every token and is dropped.
 
-    def __init__(self, path: str) -> None:
+    For other tokenizers texts are encoded as they are.
+    """
+
+    def __init__(self, path: str, most: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        vocabulary = self.tokenizer.get_vocab()
+        # In a byte-level vocabulary a token's characters, but for the mark of a word's end, stand for one byte each.
+        self.token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for t, i in vocabulary.items():
+            self.token_bytes[i] = len(t.removesuffix("</w>"))
+        alone = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        #: Whether chunks can be encoded on their own.
+        self.by_chunk = all(alone(t) == [i for c in t.split() for i in alone(c)] for t in ("a b", " Ab,\tc. \n\nd-e\x0b\x0c\r f", "é \u00fc, \u65e5 \u0301x"))
+        #: Whether the tokenizer maps ASCII capitals to small letters itself.
+        self.lower = [e.ids for e in self.run(["AZ"], add_special_tokens=False)] == [e.ids for e in self.run(["az"], add_special_tokens=False)]
         self.index: dict[bytes, int] = {}
-        self.bytes = 0
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 16, np.int64)
-
-    def learn(self, chunks: list[bytes]) -> None:
-        run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = [e.ids for e in run([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+        self.ids, self.ends, self.uses = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def learn(self, chunks: list[bytes]) -> np.ndarray:
+        """Encode and remember new chunks; returns their numbers."""
+        plain, single = [], []
+        for i, c in enumerate(chunks):
+            (plain if PLAIN.fullmatch(c) else single).append(i)
+        joined = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+        order, ids, sizes = [], [], []
+        for group, e in zip(joined, self.run([b"\n".join([chunks[i] for i in g]).decode() for g in joined], add_special_tokens=False), strict=True):
+            got = np.array(e.ids, np.uint32)
+            upto = np.cumsum(self.token_bytes[got])
+            want = np.cumsum([len(chunks[i]) for i in group])
+            cuts = np.searchsorted(upto, want) + 1
+            if not len(upto) or cuts[-1] != len(got) or (upto[cuts - 1] != want).any():
+                single += group  # not a byte-level vocabulary of this kind
+                continue
+            order += group
+            ids.append(got)
+            sizes.append(np.diff(cuts, prepend=0))
+        found = [e.ids for e in self.run([chunks[i].decode("utf-8", "replace") for i in single], add_special_tokens=False)]
+        order += single
+        ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        flat, ends = np.concatenate(ids), np.cumsum(np.concatenate(sizes))
         n = len(self.index)
         at = int(self.ends[n - 1]) if n else 0
-        ends = at + np.cumsum([len(x) for x in found])
-        while len(self.ends) < n + len(chunks):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while len(self.ids) < ends[-1]:
+        self._room(n + len(chunks), at + len(flat))
+        self.ids[at : at + len(flat)], self.ends[n : n + len(chunks)], self.uses[n : n + len(chunks)] = flat, at + ends, 0
+        self.index.update(zip([chunks[i] for i in order], range(n, n + len(chunks)), strict=True))
+        numbers = np.empty(len(chunks), np.int64)
+        numbers[order] = np.arange(n, n + len(chunks))
+        return numbers
+
+    def _room(self, chunks: int, ids: int) -> None:
+        while len(self.ends) < chunks:
+            self.ends, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.uses))
+        while len(self.ids) < ids:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ends[n : n + len(chunks)] = ends
-        self.ids[at : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]) - at)
-        self.index.update(zip(chunks, range(n, n + len(chunks)), strict=True))
-        self.bytes += sum(map(len, chunks))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each text has."""
-        if len(self.index) > CACHE or self.bytes > CACHE_BYTES:
-            self.clear()
-        split = [t.split() for t in texts]
-        per_text = np.fromiter(map(len, split), np.int64, len(split))
-        chunks = list(chain.from_iterable(split))
-        if new := [c for c in dict.fromkeys(chunks) if c not in self.index]:
-            self.learn(new)
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+
+    def forget(self) -> None:
+        """Keep the chunks that were seen more than once since the last time; if they are too many, none."""
+        n = len(self.index)
+        kept = np.flatnonzero(self.uses[:n] > 1)
+        if len(kept) > self.most // 2:
+            kept = kept[:0]
+        ends = self.ends[:n]
+        sizes = np.diff(ends, prepend=0)[kept]
+        upto = np.cumsum(sizes)
+        ids = self.ids[np.repeat(ends[kept] - upto, sizes) + np.arange(sizes.sum())]
+        keep = np.zeros(n, bool)
+        keep[kept] = True
+        place = np.cumsum(keep) - 1
+        self.index = {c: int(place[i]) for c, i in self.index.items() if keep[i]}
+        self.ids, self.ends, self.uses = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self._room(len(kept), len(ids))
+        self.ids[: len(ids)], self.ends[: len(kept)] = ids, upto
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has. Null is empty."""
+        if len(self.index) > self.most:
+            self.forget()
+        texts = pc.fill_null(texts, "")
+        if not self.by_chunk:
+            found = [e.ids for e in self.run(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        if self.lower:  # ASCII texts may be lower-cased first, as the tokenizer does it anyway: there are fewer chunks
+            plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
+            texts = pc.if_else(plain, pc.ascii_lower(texts), texts)
+        codes, chunks, per_text = split_words(texts, lower=False)
+        chunks = chunks.tolist()
+        at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            at[new] = self.learn([chunks[i] for i in new])
+        self.uses[at] += np.bincount(codes, minlength=len(at)).astype(np.int32)
         ends = self.ends[at]
         starts = np.where(at > 0, self.ends[at - 1], 0)
-        sizes = ends - starts
+        starts, sizes = starts[codes], (ends - starts)[codes]
         upto = np.cumsum(sizes)
         total = int(upto[-1]) if len(upto) else 0
         flat = self.ids[np.repeat(starts - upto + sizes, sizes) + np.arange(total)]
@@ -110,8 +172,8 @@ def tokenise(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id
         cache, pack = cache_for(tokenizer), zstandard.ZstdCompressor(level=1).compress
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for b in pieces(batch, 1):
-                flat, sizes = cache.encode(texts_of(b, 1))
+            for b in pieces(batch, 1, 2 << 20):
+                flat, sizes = cache.encode(b.column(1))
                 seen = np.bincount(flat, minlength=len(counts))
                 counts = np.pad(counts, (0, len(seen) - len(counts))) + seen
                 counts[end] += len(sizes)
@@ -134,6 +196,8 @@ class Table:
     def __init__(self, tokens: np.ndarray, freq: np.ndarray, scale: int) -> None:
         self.tokens, self.freq, self.scale = tokens.astype(np.uint32), freq.astype(np.uint64), scale
         self.start = (np.cumsum(self.freq) - self.freq).astype(np.uint64)
+        self.number = np.zeros(int(self.tokens.max(initial=0)) + 1, np.uint32)
+        self.number[self.tokens] = np.arange(len(self.tokens))
         self.crc = zlib.crc32(self.freq.tobytes(), zlib.crc32(self.tokens.tobytes()))
 
     @classmethod
@@ -205,7 +269,7 @@ def _decode(states: np.ndarray, words: np.ndarray, first: np.ndarray, steps: int
 
 def pack_file(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, table: Table, ordinal: int, block: int = BLOCK, lanes: int = LANES) -> bytes:
     """One file of the format, without its final line feed."""
-    symbols = np.searchsorted(table.tokens, ids).astype(np.uint32)
+    symbols = table.number[ids]
     whole, rest = divmod(len(symbols), block)
     parts = [_encode(symbols[: whole * block].reshape(whole, block // lanes, lanes), table)] if whole else []
     if rest:
