@@ -22,7 +22,8 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ship, stored, text_remainder, texts_of
+from .common import ARROW_BYTES, pieces, ship, split_words, stored, text_remainder
 
 #: Words whose counts every worker holds; words that are units of their own; shapes.
 FREQUENT, WORD_UNITS, SHAPES = 131_072, 383, 128
 CONTEXT, WIDTH = 3, 32
 #: Rounds (each on its own part of the documents), positions per target, noise units, positions of a batch, first rate.
 ROUNDS, STRIDE, NOISE, BATCH, RATE = 2, 2, 32, 2048, 0.15
+#: Steps that a worker takes on a piece of text, however short it is.
+LEAST_STEPS = 24
 #: Results of tasks that are averaged together before the driver sees them.
 TREE = 16
 LOG10 = float(np.log(10))
@@ -58,9 +61,11 @@ def count_words(training: DataFrame, text: str) -> DataFrame:
 
         counts: Counter[bytes] = Counter()
         for batch in batches:
-            for b in pieces(batch, 0):
-                for t in texts_of(b, 0):
-                    counts.update(t.lower().split())
+            for b in pieces(batch, 0, ARROW_BYTES):
+                codes, words, _ = split_words(b.column(0))
+                for w, n in zip(words.tolist(), np.bincount(codes, minlength=len(words)).tolist(), strict=True):
+                    if n:
+                        counts[w] += n
                 if len(counts) > 150_000:
                     yield out()
                     counts.clear()
@@ -124,6 +129,11 @@ class Model:
         self.r, self.q, self.c, self.b = (flat[a:z] for a, z in zip(sizes, sizes[1:], strict=False))
         self.r, self.q, self.c = self.r.reshape(units, WIDTH), self.q.reshape(units, WIDTH), self.c.reshape(CONTEXT, WIDTH)
 
+    @cached_property
+    def output(self) -> np.ndarray:
+        """Predicted units with their biases, for one product; made once training is over."""
+        return np.concatenate([self.q, self.b[:, None]], 1).T.copy()
+
     @classmethod
     def start(cls, unit_counts: np.ndarray) -> Model:
         units, rng = len(unit_counts), np.random.default_rng(0)
@@ -141,8 +151,7 @@ class Model:
     def log10_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised over all units."""
         h = self.vectors(context)
-        s = h @ self.q.T
-        s += self.b
+        s = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1) @ self.output
         own = s[np.arange(len(target)), target]
         bound = np.sqrt((h * h).sum(1).max(initial=0) * (self.q * self.q).sum(1).max()) + np.abs(self.b).max()
         top = s.max(1) if bound > 60 else np.zeros(1, np.float32)  # else no exponential overflows
@@ -206,15 +215,25 @@ class Trainer:
         self.samples += n
 
 
-def _pieces_of_units(batches: Iterator[pa.RecordBatch], text: int, vocabulary: Vocabulary) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, words of each text, units with ends, starts, places of the words) of each piece."""
+class Piece(NamedTuple):
+    """Some rows and their texts as units, each text closed by END."""
+
+    rows: pa.RecordBatch
+    words: np.ndarray  # distinct words
+    codes: np.ndarray  # of all words
+    sizes: np.ndarray  # words of each text
+    units: np.ndarray
+    starts: np.ndarray  # of the texts, in units
+    place: np.ndarray  # of all words among the frequent ones, or -1
+
+
+def _as_units(batches: Iterator[pa.RecordBatch], text: int, vocabulary: Vocabulary) -> Iterator[Piece]:
     for batch in batches:
-        for b in pieces(batch, text):
-            words = [t.lower().split() for t in texts_of(b, text)]
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            unit, place = vocabulary.units_of(list(chain.from_iterable(words)))
+        for b in pieces(batch, text, 2 << 20):
+            codes, words, sizes = split_words(b.column(text))
+            unit, place = vocabulary.units_of(words.tolist())
             upto = np.cumsum(sizes)
-            yield b, words, np.insert(unit, upto, END), upto - sizes + np.arange(len(sizes)), place
+            yield Piece(b, words, codes, sizes, np.insert(unit[codes], upto, END), upto - sizes + np.arange(len(sizes)), place[codes])
 
 
 def train(training: DataFrame, key: str, text: str, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
@@ -229,12 +248,13 @@ def train(training: DataFrame, key: str, text: str, vocabulary: Vocabulary, roun
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, turn: int = turn) -> Iterator[pa.RecordBatch]:
             v, task = words.value, TaskContext.get().partitionId()
             t = Trainer(Model(v.units, start.copy()), v.unit_counts, 1000 * turn + task)
-            for _, _, units, starts, _ in _pieces_of_units(batches, 0, v):
-                before = contexts(units, starts)
+            for p in _as_units(batches, 0, v):
+                units, before = p.units, contexts(p.units, p.starts)
                 spots = np.arange(turn % STRIDE, len(units), STRIDE)
                 t.rng.shuffle(spots)
-                for at in range(0, len(spots), BATCH):
-                    some = spots[at : at + BATCH]
+                size = min(BATCH, max(64, len(spots) // LEAST_STEPS))
+                for at in range(0, len(spots), size):
+                    some = spots[at : at + size]
                     t.step(before[some], units[some])
             if t.samples:
                 yield pa.RecordBatch.from_arrays([pa.array([task % TREE]), pa.array([t.samples]), pa.array([t.m.flat.tobytes()], pa.binary())], names=["part", "samples", "flat"])
@@ -269,31 +289,30 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (5, 1), key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = sent.value
         m = Model(v.units, flat)
-        for b, texts, units, starts, place in _pieces_of_units(batches, 2, v):
+        for b, words, codes, sizes, units, starts, place in _as_units(batches, 2, v):
             before, log10 = contexts(units, starts), np.empty(len(units))
             for at in range(0, len(units), BATCH):
                 log10[at : at + BATCH] = m.log10_probability(before[at : at + BATCH], units[at : at + BATCH])
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            doc = np.repeat(np.arange(len(texts)), sizes)
+            texts = len(sizes)
+            doc = np.repeat(np.arange(texts), sizes)
             known = place >= 0
             inside = np.zeros(len(place))
             if known.any():
                 inside[known] = v.inside[place[known]]
             inside[~known] = -v.shape_total[np.delete(units, starts + sizes)[~known] - v.first_shape]
-            counted = np.bincount(doc[known], np.log10(v.counts[place[known]] + 0.5), len(texts)) if known.any() else np.zeros(len(texts))
-            model_part = np.add.reduceat(log10, starts) + np.bincount(doc, inside, len(texts))
-            n_known = np.bincount(doc[known], minlength=len(texts)) + (v.end_count > 0)
+            counted = np.bincount(doc[known], np.log10(v.counts[place[known]] + 0.5), texts) if known.any() else np.zeros(texts)
+            model_part = np.add.reduceat(log10, starts) + np.bincount(doc, inside, texts)
+            n_known = np.bincount(doc[known], minlength=texts) + (v.end_count > 0)
             rows = b.column(0).to_pylist()
             none, n = pa.nulls, b.num_rows
             # A document's own row carries a key that no word equals, as words hold no space.
             marks = pa.array([b" %d" % r for r in rows], pa.binary())
             columns = [marks, b.column(0), none(n, pa.int64()), pa.array(np.ones(n, bool)), b.column(1), pa.array(sizes + 1), pa.array(n_known.astype(np.int64)), pa.array(counted + np.log10(v.end_count + 0.5)), pa.array(model_part)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-            flat_words = list(chain.from_iterable(texts))
-            rare = Counter(zip(doc[~known].tolist(), (flat_words[i] for i in np.flatnonzero(~known).tolist()), strict=True))
-            if rare:
-                k = len(rare)
-                columns = [pa.array([w for _, w in rare], pa.binary()), pa.array([rows[d] for d, _ in rare]), pa.array(list(rare.values()), pa.int64()), none(k, pa.bool_()), none(k, b.schema.field(1).type), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.float64()), none(k, pa.float64())]
+            rare, n = np.unique(doc[~known] * len(words) + codes[~known], return_counts=True)
+            if len(rare):
+                k, rare_doc = len(rare), rare // len(words)
+                columns = [pa.array(words[rare % len(words)], pa.binary()), b.column(0).take(pa.array(rare_doc)), pa.array(n), none(k, pa.bool_()), none(k, b.schema.field(1).type), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.float64()), none(k, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["word", "row", "n", "whole", "doc_id", "n_tokens", "n_known", "counted", "model_part"]
