@@ -13,6 +13,8 @@ without words has target 0. Other columns are kept by mix() and not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,8 +26,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (3, 1, 2)
 #: Words of the mix per word of the input, and the most that a source may be repeated.
 SHARE, MOST = 1.5, 2
-#: Rows of the largest source that one cell of keys holds on average.
-CELL_ROWS = 20_000
+
+
+def cells_for(rows: int) -> int:
+    """Cells of keys for a source with so many rows: as many as a cell then has rows, so both grow slowly."""
+    return math.isqrt(rows) + 1
 
 
 def size_of(text: Column) -> Column:
@@ -72,7 +77,7 @@ def plan_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     take edge_words together, and rows after it nothing.
     """
     largest = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    cells = max(1, -(-largest // CELL_ROWS))
+    cells = cells_for(largest)
     plan = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("rest", F.when(F.col("source_size") > 0, F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))).otherwise(0).cast("long"))
     placed = sized.select(F.struct("source").alias("src"), "doc_id", "size", "key", F.least(F.floor((1 - F.exp(-F.col("key"))) * cells), F.lit(cells - 1)).cast("long").alias("cell"))
