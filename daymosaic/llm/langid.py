@@ -52,7 +52,7 @@ def spectrum(text: bytes, table: np.ndarray) -> tuple[list[np.ndarray], bool]:
     """Codes of all 1-, 2- and 3-grams of a text (repeats included), and whether it has a letter."""
     c = table[points(text)].astype(np.int32)
     c = np.concatenate([[0], c, [0]]).astype(np.int32)
-    c = c[1:][(c[1:] != 0) | (c[:-1] != 0)]  # one space between words
+    c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]  # one space around and between words
     pair = (c[:-1] << 6) | c[1:]
     return [c, pair + 64, ((pair[:-1] << 6) | c[2:]) + 64 + 4096], bool(c.any())
 
