@@ -141,12 +141,13 @@ def scan_text(text: bytes, index: TemplateIndex, least: float = LEAST, band: int
     found = []
     for template, spots in by_template.items():
         words = index.templates[template]
+        width = min(band, max(1, len(words) // 3))  # so that a short template's repetitions stay apart
         spots.sort()
         groups = [[spots[0]]]
         for s in spots[1:]:
-            (groups[-1].append(s) if s[0] - groups[-1][-1][0] <= band else groups.append([s]))
+            (groups[-1].append(s) if s[0] - groups[-1][-1][0] <= width else groups.append([s]))
         for g in groups:
-            low, high = g[0][0] - band, g[-1][0] + band
+            low, high = g[0][0] - width, g[-1][0] + width
             start, end = max(0, low), min(len(numbers), high + len(words))
             matched, first, last = align(words, numbers[start:end], start, low, high)
             if matched >= least * len(words):
