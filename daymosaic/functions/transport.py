@@ -17,20 +17,40 @@ def _net(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[
     return (np.array([p for p, _ in left]).reshape(-1, shape), [m for _, m in left], np.array([p for p, _ in right]).reshape(-1, shape), [m for _, m in right])
 
 
+def _prices(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray, halvings: int = 11, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Approximate prices of both sides: entropic transport, smoothed less and less, in the log domain."""
+    f, g = np.zeros(len(supply)), np.zeros(len(demand))
+    a, b = supply / supply.sum(), demand / demand.sum()
+    eps = float(cost.max()) or 1.0
+    for _ in range(halvings):
+        eps /= 2
+        kernel = np.exp(np.clip((f[:, None] + g[None, :] - cost) / eps, -500, 200))
+        u, v = np.ones_like(f), np.ones_like(g)
+        for _ in range(rounds):
+            u = a / np.maximum(kernel @ v, 1e-250)
+            v = b / np.maximum(u @ kernel, 1e-250)
+        f, g = f + eps * np.log(u), g + eps * np.log(v)
+    return f, g
+
+
 def _start(cost: np.ndarray, supply: list[int], demand: list[int]) -> list[tuple[int, int, int]]:
-    """A feasible tree: sources in turn fill the nearest sinks that have room."""
+    """A feasible tree: pairs are filled in the order of their cost at approximate prices."""
+    f, g = _prices(cost, np.array(supply, float), np.array(demand, float))
+    order = np.argsort((cost - f[:, None] - g[None, :]).ravel(), kind="stable")
     left, room, arcs = list(supply), list(demand), []
-    order, open_sinks = np.argsort(cost, axis=1, kind="stable"), np.ones(len(demand), bool)
-    for i in range(len(left)):
-        for j in order[i][open_sinks[order[i]]].tolist():
-            moved = min(left[i], room[j])
-            arcs.append((i, j, moved))
-            left[i] -= moved
-            room[j] -= moved
-            if not room[j]:
-                open_sinks[j] = False
-            if not left[i]:
-                break
+    open_left, open_room = np.ones(len(left), bool), np.ones(len(room), bool)
+    at, step = 0, 4 * (len(left) + len(room))
+    while at < len(order):
+        i, j = np.divmod(order[at : at + step], len(room))
+        keep = open_left[i] & open_room[j]
+        for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+            moved = min(left[x], room[y])
+            if moved:
+                arcs.append((x, y, moved))
+                left[x] -= moved
+                room[y] -= moved
+                open_left[x], open_room[y] = left[x] > 0, room[y] > 0
+        at += step
     return arcs
 
 
@@ -51,10 +71,11 @@ def transport_cost(cost: np.ndarray, supply: list[int], demand: list[int], block
     near: list[dict[int, int]] = [{} for _ in range(size)]  # tree neighbours and flow
     for i, j, flow in _start(cost, mass, want):
         near[i][n + j] = near[n + j][i] = flow
-    parent, depth, price = [-1] * size, [0] * size, np.zeros(size)
+    parent, depth, price = [-1] * size, [0] * size, [0.0] * size
+    rows = cost.tolist()
 
     def hang(root: int, above: int) -> None:
-        """Set parents, depths and prices below root, whose parent is above."""
+        """Set parents, depths and prices of what root leads to, away from above."""
         parent[root] = above
         stack = [root]
         while stack:
@@ -62,20 +83,31 @@ def transport_cost(cost: np.ndarray, supply: list[int], demand: list[int], block
             p = parent[v]
             if p >= 0:
                 depth[v] = depth[p] + 1
-                i, j = (v, p - n) if v < n else (p, v - n)
-                price[v] = cost[i, j] - price[p]
+                price[v] = (rows[v][p - n] if v < n else rows[p][v - n]) - price[p]
             for w in near[v]:
                 if w != p:
                     parent[w] = v
                     stack.append(w)
 
+    def smaller(i: int, j: int) -> int:
+        """i or j, whichever has fewer nodes on its side of the arc between them; both sides are walked in step."""
+        walks = ((i, [(i, j)]), (j, [(j, i)]))
+        while True:
+            for end, stack in walks:
+                if not stack:
+                    return end
+                v, back = stack.pop()
+                for w in near[v]:
+                    if w != back:
+                        stack.append((w, v))
+
     hang(0, -1)
     tolerance = 1e-9 * max(1.0, float(np.abs(cost).max()))
     blocks = [(a, min(n, a + block)) for a in range(0, n, block)]
     at, calm = 0, 0
     while calm < len(blocks):
         a, z = blocks[at % len(blocks)]
-        reduced = cost[a:z] - price[a:z, None] - price[None, n:]
+        reduced = cost[a:z] - np.array(price[a:z])[:, None] - np.array(price[n:])[None, :]
         spot = int(reduced.argmin())
         i, j = a + spot // m, n + spot % m
         if reduced.flat[spot] >= -tolerance:
@@ -102,10 +134,11 @@ def transport_cost(cost: np.ndarray, supply: list[int], demand: list[int], block
         child, above = out
         del near[child][above], near[above][child]
         near[i][j] = near[j][i] = theta
-        # The part that was cut off now hangs from the new arc.
-        inside, outside = (i, j) if child in up_i else (j, i)
-        hang(inside, outside)
-    prices = price.tolist()
+        # The smaller part now hangs from the new arc; the other keeps its prices.
+        parent[child] = -1
+        inside = smaller(i, j)
+        hang(inside, j if inside == i else i)
+    prices = price
     return float(sum(s * p for s, p in zip(supply, prices[:n], strict=True)) + sum(d * p for d, p in zip(demand, prices[n:], strict=True)))
 
 

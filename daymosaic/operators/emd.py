@@ -46,7 +46,9 @@ def plane_distances(sides: DataFrame, keys: list[str], scale: float) -> DataFram
         return group[keys].head(1).assign(value=value)
 
     cells = sides.groupBy(*keys, "v1", "v2").agg(F.sum("wa").alias("wa"), F.sum("wb").alias("wb"))
-    return cells.groupBy(*keys).applyInPandas(solve, schema)
+    # Few rows but much work: a fixed number of partitions, which Spark doesn't merge for being small.
+    tasks = 4 * sides.sparkSession.sparkContext.defaultParallelism
+    return cells.repartition(tasks, *keys).groupBy(*keys).applyInPandas(solve, schema)
 
 
 def paired(hist: DataFrame, models: list[str]) -> DataFrame:

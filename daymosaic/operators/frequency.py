@@ -47,11 +47,20 @@ def activity_frequencies(sched: DataFrame, duration: int = 1440, step: int = 15,
 
 def time_use(sched: DataFrame, step: int = 1) -> DataFrame:
     """(minute, act, share): share of persons who do an activity at a time, start <= t < end."""
-    n = sched.agg(F.count_distinct("pid").alias("n"))
+    n = sched.agg(F.count_distinct("pid").alias("n")).withColumn("one", F.lit(1))
     first, upto = F.ceil(F.col("start") / step).cast("int"), (F.ceil(F.col("end") / step) - 1).cast("int")
-    spread = sched.withColumns({"first": first, "upto": upto}).where("first <= upto").select("pid", "act", F.explode(F.sequence("first", "upto")).alias("at"))
-    counts = spread.groupBy("at", "act").agg(F.count_distinct("pid").alias("persons"))
-    return counts.withColumn("one", F.lit(1)).join(F.broadcast(n.withColumn("one", F.lit(1))), "one").select((F.col("at") * step).alias("minute"), "act", (F.col("persons") / F.col("n")).alias("share"))
+    stays = sched.withColumns({"first": first, "upto": upto}).where("first <= upto").select("pid", "act", "first", "upto")
+    # A person counts once: overlapping and adjoining stays are joined, and only their ends are counted.
+    before = Window.partitionBy("pid", "act").orderBy("first", "upto").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.col("first") > F.max("upto").over(before) + 1, F.lit(True)).cast("int")
+    island = F.sum("begins").over(Window.partitionBy("pid", "act").orderBy("first", "upto").rowsBetween(Window.unboundedPreceding, 0))
+    joined = stays.withColumn("begins", begins).withColumn("island", island).groupBy("pid", "act", "island").agg(F.min("first").alias("first"), F.max("upto").alias("upto"))
+    ends = F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("change")), F.struct((F.col("upto") + 1).alias("at"), F.lit(-1).alias("change")))
+    changes = joined.select("act", F.explode(ends).alias("e")).groupBy("act", F.col("e.at").alias("at")).agg(F.sum("e.change").alias("change"))
+    by_time = Window.partitionBy("act").orderBy("at")
+    counts = changes.withColumns({"persons": F.sum("change").over(by_time), "next": F.lead("at").over(by_time)}).where("persons > 0")
+    spread = counts.select("act", "persons", F.explode(F.sequence(F.col("at"), F.col("next") - 1)).alias("at")).withColumn("one", F.lit(1))
+    return spread.join(F.broadcast(n), "one").select((F.col("at") * step).alias("minute"), "act", (F.col("persons") / F.col("n")).alias("share"))
 
 
 def sequence_shares(sched: DataFrame) -> DataFrame:
