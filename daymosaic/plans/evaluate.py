@@ -41,7 +41,7 @@ def density_rows(sched: DataFrame, members: DataFrame, models: list[str], jobs:
     wanted = stored(features.segments(sched, counts, jobs), "segments")
     hist = features.histograms(counts, wanted, members, jobs)
     cats = members.where(F.col("model") == OBSERVED).select("label", "cat").distinct()
-    hist = hist.join(F.broadcast(cats), ["label", "cat"], "left_semi")
+    hist = hist.join(cats, ["label", "cat"], "left_semi")
     # A model's segment counts only where its category has all of the segment's activities.
     present = sched.where("act is not null").join(members, ["model", "pid"]).groupBy("model", "label", "cat").agg(F.collect_set("act").alias("present"))
     allowed = wanted.where(F.col("model") != OBSERVED).join(present, "model").where(F.size(F.array_except("acts", "present")) == 0).select(*features.CELL)

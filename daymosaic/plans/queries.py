@@ -207,6 +207,26 @@ def time_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.time_histogram(_observed(spark, sf_dir)).select("act", F.col("bin").cast("long").alias("bin"), "episodes")
 
 
+def joint_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frequency.joint_histogram(_observed(spark, sf_dir))
+    return out.select("act", F.col("start_bin").cast("long").alias("start_bin"), F.col("duration_bin").cast("long").alias("duration_bin"), "episodes")
+
+
+def gantt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frequency.gantt_table(_observed(spark, sf_dir))
+    return out.select("pid", "act", F.col("start").alias("start_t"), F.col("end").alias("end_t"), F.col("seq").cast("long").alias("seq"))
+
+
+def schedule_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.count_schedules(_observed(spark, sf_dir))
+
+
+def density_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of persons in an activity over the share of the day."""
+    out = frequency.activity_frequencies(_observed(spark, sf_dir), density=True)
+    return out.select("segment", F.round("value", 9).alias("value"), F.round("weight", 9).alias("weight"))
+
+
 def lengths_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.length_table(_observed(spark, sf_dir))
 
@@ -306,6 +326,10 @@ QUERIES: dict[str, Query] = {
     "bigram_matrix": bigrams,
     "participation_summary": describe_tables,
     "start_time_bins": time_histograms,
+    "joint_time_bins": joint_bins,
+    "gantt_rows": gantt_rows,
+    "schedule_count": schedule_count,
+    "density_curves": density_curves,
     "length_table": lengths_table,
     "scalar_distances": scalar_distances,
     "pairwise_default": partial(pairs, specs=pairwise.default_specs),

@@ -192,6 +192,14 @@ SELECT {keys}, {WIDE} FROM g GROUP BY {group}"""
 
 
 OBS = f"WITH {SCHED}, obs AS (SELECT * FROM sched WHERE model = 'observed')"
+GRID = f"""{OBS},
+ap AS (SELECT arg_min(act, pid * 1000 + seq) AS first, count(DISTINCT pid) AS n FROM obs),
+gr AS (SELECT act, bin FROM (SELECT DISTINCT act FROM obs) a, (SELECT unnest(range(96)) AS bin) b),
+di AS (SELECT pid, bin, arg_max(act, seq) AS act FROM obs, (SELECT unnest(range(96)) AS bin) b WHERE start_t <= bin * 15 AND bin * 15 < end_t GROUP BY pid, bin),
+fo AS (SELECT bin, act, count(*) AS found FROM di GROUP BY bin, act),
+jo AS (SELECT gr.bin, gr.act, coalesce(found, 0) AS found, sum(coalesce(found, 0)) OVER (PARTITION BY gr.bin) AS covered FROM gr LEFT JOIN fo ON fo.bin = gr.bin AND fo.act = gr.act),
+gd AS (SELECT bin, act, n, found + CASE WHEN act = first THEN n - covered ELSE 0 END AS persons FROM jo, ap)
+"""
 DAYS = f"""WITH {SCHED},
 dy AS (SELECT CAST(d AS BIGINT) AS pid, act, start_t, end_t, duration, row_number() OVER (PARTITION BY d ORDER BY start_t, user_id, seq) AS seq FROM sched)"""
 
@@ -266,13 +274,11 @@ SELECT domain, feature, round(coalesce(max(CASE WHEN model = 'observed' THEN val
 SELECT domain, {WIDE} FROM dm GROUP BY domain""",
     "rank_models": f"WITH {_raw()}, {GROUPS}, {DOMAINS} SELECT model, round(avg(value), 9) AS distance FROM dm GROUP BY model",
     "rank_groups": f"WITH {_raw()}, {GROUPS} SELECT domain, feature, model, CAST(rank() OVER (PARTITION BY domain, feature ORDER BY round(value, 9)) AS INT) AS rank FROM g",
-    "activity_density": f"""{OBS},
-ap AS (SELECT arg_min(act, pid * 1000 + seq) AS first, count(DISTINCT pid) AS n FROM obs),
-gr AS (SELECT act, bin FROM (SELECT DISTINCT act FROM obs) a, (SELECT unnest(range(96)) AS bin) b),
-di AS (SELECT pid, bin, arg_max(act, seq) AS act FROM obs, (SELECT unnest(range(96)) AS bin) b WHERE start_t <= bin * 15 AND bin * 15 < end_t GROUP BY pid, bin),
-fo AS (SELECT bin, act, count(*) AS found FROM di GROUP BY bin, act),
-jo AS (SELECT gr.bin, gr.act, coalesce(found, 0) AS found, sum(coalesce(found, 0)) OVER (PARTITION BY gr.bin) AS covered FROM gr LEFT JOIN fo ON fo.bin = gr.bin AND fo.act = gr.act)
-SELECT bin, act, CAST(found + CASE WHEN act = first THEN n - covered ELSE 0 END AS BIGINT) AS persons, round((found + CASE WHEN act = first THEN n - covered ELSE 0 END) / n, 9) AS density FROM jo, ap""",
+    "activity_density": f"""{GRID}SELECT bin, act, CAST(persons AS BIGINT) AS persons, round(persons / n, 9) AS density FROM gd""",
+    "density_curves": f"""{GRID}SELECT act AS segment, round(bin * (15 / 1440), 9) AS value, round(persons / n, 9) AS weight FROM gd""",
+    "joint_time_bins": f"{OBS} SELECT act, CAST(floor(start_t / 30) * 30 AS BIGINT) AS start_bin, CAST(floor(duration / 30) * 30 AS BIGINT) AS duration_bin, count(*) AS episodes FROM obs GROUP BY 1, 2, 3",
+    "gantt_rows": f"{OBS} SELECT pid, act, start_t, end_t, seq FROM obs WHERE pid IN (SELECT DISTINCT pid FROM obs ORDER BY pid LIMIT 8)",
+    "schedule_count": f"{OBS} SELECT 'all' AS segment, CAST(count(DISTINCT pid) AS DOUBLE) AS value, CAST(1 AS BIGINT) AS weight FROM obs",
     "time_use": f"""{OBS}
 SELECT t AS minute, act, round(count(DISTINCT pid) / (SELECT count(DISTINCT pid) FROM obs), 9) AS share FROM (SELECT pid, act, unnest(range(CAST(start_t AS BIGINT), CAST(end_t AS BIGINT))) AS t FROM obs) x GROUP BY t, act""",
     "sequence_probs": f"{OBS} SELECT sequence, count(*) AS persons, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM (SELECT pid, string_agg(act, '>' ORDER BY seq) AS sequence FROM obs GROUP BY pid) x GROUP BY sequence",
