@@ -35,6 +35,8 @@ MOST_TOXIC, MOST_CLEAN, TERMS = 2_000, 4_000, 1_024
 LEAST_CHI2 = 30.0
 NEIGHBOURS, BLOCK, PRIOR = 15, 32, 0.5
 THRESHOLD = 0.7
+#: Documents that a task scores.
+TASK_ROWS = 8_192
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -259,7 +261,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3,
 
     kind = found.schema["doc_id"].dataType
     schema = found.select("row", "doc_id").schema.add("score", "double").add("evidence", T.ArrayType(kind))
-    return found.select("row", "doc_id", "at", "tf").mapInArrow(run, schema)
+    # Vectors take little space but some time, so they are dealt by number and not by size.
+    return found.select("row", "doc_id", "at", "tf").repartition(max(1, -(-total // TASK_ROWS))).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
