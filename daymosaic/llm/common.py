@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_path, stored
 
-__all__ = ["maybe_broadcast", "pieces", "shared_path", "ship", "split_words", "stored", "text_remainder", "texts_of", "uniform", "with_row", "without_rows"]
+__all__ = ["maybe_broadcast", "pieces", "release", "shared_path", "ship", "split_words", "stored", "text_remainder", "texts_of", "uniform", "with_row", "without_rows"]
 
 _shipped: set[str] = set()
 
@@ -99,3 +101,10 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
         sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
         codes = codes[keep]
     return codes, words, sizes
+
+
+def release() -> None:
+    """Give memory that a finished task no longer uses back to the system; workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import maybe_broadcast, pieces, shared_path, ship, split_words, stored
+from .common import maybe_broadcast, pieces, release, shared_path, ship, split_words, stored
 
 MAGIC = 0x53_4E_41_52  # "RANS"
 HEADER = np.dtype([("magic", "<u4"), ("version", "<u4"), ("scale", "<u4"), ("lanes", "<u4"), ("table", "<u4"), ("ordinal", "<u4"), ("docs", "<u8"), ("tokens", "<u8"), ("blocks", "<u4"), ("words", "<u8")])
@@ -39,9 +39,10 @@ LOW = np.uint64(1 << 31)
 #: Id that ends every document, tokens of a block, coders of a block, tokens of a file.
 END, BLOCK, LANES, FILE_TOKENS = 2, 1 << 15, 32, 2_000_000
 #: Chunks of text that a worker remembers with their ids; chunks that are encoded together.
-CACHE, TOGETHER = 300_000, 1_000
+CACHE, TOGETHER = 450_000, 1_000
 #: Chunks of printable ASCII and Latin-1 letters: lower-casing and composing keep their length, and they hold no special token.
 PLAIN = re.compile(rb"(?:[!-;=-~]|<(?!\|)|\xc2[\xa1-\xbf]|\xc3[\x80-\xbf])+")
+PRINTABLE = bytes(range(0x21, 0x7F))
 
 
 class ChunkCache:
@@ -72,8 +73,13 @@ class ChunkCache:
     def learn(self, chunks: list[bytes]) -> np.ndarray:
         """Encode and remember new chunks; returns their numbers."""
         plain, single = [], []
-        for i, c in enumerate(chunks):
-            (plain if PLAIN.fullmatch(c) else single).append(i)
+        for a in range(0, len(chunks), TOGETHER):
+            group = chunks[a : a + TOGETHER]
+            if (text := b"".join(group)).isascii() and b"<|" not in text and not text.translate(None, PRINTABLE) and all(group):
+                plain += range(a, a + len(group))
+                continue
+            for i, c in enumerate(group, a):
+                (plain if PLAIN.fullmatch(c) else single).append(i)
         joined = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
         order, ids, sizes = [], [], []
         for group, e in zip(joined, self.run([b"\n".join([chunks[i] for i in g]).decode() for g in joined], add_special_tokens=False), strict=True):
@@ -185,6 +191,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id
         used = np.flatnonzero(counts)
         none = pa.nulls(len(used))
         yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), pa.array(used), pa.array(counts[used])], names=["doc_id", "ids", "token", "count"])
+        release()
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return stored(slim.mapInArrow(run, "doc_id long, ids binary, token long, count long"), "ids")
@@ -236,13 +243,13 @@ def _encode(symbols: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray,
     words, counts = [], np.zeros((steps, blocks), np.int64)
     for t in range(steps - 1, -1, -1):
         s = symbols[:, t, :]
-        f = table.freq[s]
+        f = table.freq.take(s, mode="clip")
         full = x >= (f << room)
         counts[t] = full.sum(1)
         words.append(x[full].astype(np.uint32))
         x = np.where(full, x >> np.uint64(32), x)
         q = x // f
-        x = (q << scale) + (x - q * f) + table.start[s]
+        x = (q << scale) + (x - q * f) + table.start.take(s, mode="clip")
     # Words were made last step first; a block's words stand together, in the order in which they are read.
     made = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
     block = np.repeat(np.tile(np.arange(blocks, dtype=np.int32), steps), counts.ravel())
@@ -257,9 +264,9 @@ def _decode(states: np.ndarray, words: np.ndarray, first: np.ndarray, steps: int
     out = np.empty((blocks, steps, lanes), np.uint32)
     for t in range(steps):
         low = x & mask
-        s = slots[low]
+        s = slots.take(low.view(np.int64), mode="clip")
         out[:, t, :] = s
-        x = table.freq[s] * (x >> scale) + low - table.start[s]
+        x = table.freq.take(s, mode="clip") * (x >> scale) + low - table.start.take(s, mode="clip")
         need = x < LOW
         rank = np.cumsum(need, axis=1)
         x[need] = (x[need] << wide) | words[(at[:, None] + rank - 1)[need]]
@@ -356,6 +363,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, key
         if doc_ids:
             ordinal = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array([pack_file(doc_ids, np.array(sizes), np.concatenate(flat), own, ordinal)], pa.binary())], names=["file"])
+            del flat
+            release()
 
     files = max(1, -(-total // FILE_TOKENS))
     ordered = table_rows.where("ids is not null").select("doc_id", "ids").repartitionByRange(files, F.col("doc_id").asc_nulls_first())
@@ -387,6 +396,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     schema = "ordinal long, place long, doc_id long, start_in_file long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
