@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daymosaic.llm import decontam, mixing, simhash, tokenout, toxicity
+from daymosaic.llm import decontam, mixing, nearcopies, tokenout, toxicity
 from daymosaic.llm.common import stored
 
 
@@ -14,8 +14,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
-    return simhash.drop_near_duplicates(docs)
+    """Keep one document of each group of near copies: at least 0.8 of their five-word shingles in common."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
