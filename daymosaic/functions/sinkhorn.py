@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 
 #: Added to masses inside logarithms; mean change of the duals at which iteration stops.
 TINY, STOP = 1e-8, 0.1
+#: Cells of a plan that a task holds.
+CELLS = 2_000_000
 
 
 def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -31,11 +33,30 @@ def transport_plan(x: np.ndarray, y: np.ndarray, eps: float = 0.01, max_iter: in
     return float((plan * cost).sum()), plan, cost
 
 
+def transport_cost(x: np.ndarray, y: np.ndarray, eps: float = 0.01, max_iter: int = 10, p: float = 1, cells: int = CELLS) -> float:
+    """The cost of transport_plan, with some `cells` of the plan in memory at a time."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    u, v, step = np.zeros(len(x)), np.zeros(len(y)), max(1, cells // max(1, len(y)))
+    parts = [slice(at, at + step) for at in range(0, len(x), step)]
+    costs = lambda s: sum(np.abs(x[s, None, k] - y[None, :, k]) ** p for k in range(x.shape[1]))
+    for _ in range(max_iter):
+        before, down = u, np.full(len(y), -np.inf)
+        u = u.copy()
+        for s in parts:  # rows are whole in a part, columns add up over the parts
+            cost = costs(s)
+            u[s] += eps * (np.log(1 / len(x) + TINY) - _logsumexp((u[s, None] + v[None, :] - cost) / eps, 1))
+            down = np.logaddexp(down, _logsumexp((u[s, None] + v[None, :] - cost) / eps, 0))
+        v = eps * (np.log(1 / len(y) + TINY) - down) + v
+        if np.abs(u - before).sum() < STOP:
+            break
+    return float(sum((np.exp((u[s, None] + v[None, :] - cost) / eps) * cost).sum() for s in parts for cost in [costs(s)]))
+
+
 def sinkhorn(points: DataFrame, keys: list[str], eps: float = 0.01, max_iter: int = 10) -> DataFrame:
     """(keys, distance) of each group of (keys, side 'a' or 'b', x array<double>)."""
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         a, b = (np.stack(group.loc[group["side"] == s, "x"].to_numpy()) for s in "ab")
-        return group[keys].head(1).assign(distance=transport_plan(a, b, eps, max_iter)[0])
+        return group[keys].head(1).assign(distance=transport_cost(a, b, eps, max_iter))
 
     return points.groupBy(*keys).applyInPandas(solve, points.select(*keys).schema.add("distance", "double"))

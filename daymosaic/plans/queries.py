@@ -244,16 +244,23 @@ def scalar_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str, specs: Callable[[], list[pairwise.PairwiseSpec]]) -> DataFrame:
-    """Distances between days."""
+    """Distances between days, as the SQL has them; schedule_pairs compares the schedules themselves."""
     return pairwise.pairwise_distances(_days(spark, sf_dir), specs()).pairs.select("pid_a", "pid_b", F.round("distance", 9).alias("distance"))
 
 
+def schedule_pairs(spark: SparkSession, sf_dir: str, specs: Callable[[int], list[pairwise.PairwiseSpec]]) -> DataFrame:
+    """Distances between all schedules; sequences are as long as the longest schedule. Rows grow with their square."""
+    sched = _schedules(spark, sf_dir).drop("model")
+    longest = sched.agg(F.max("seq")).first()[0] or 1
+    return pairwise.pairwise_distances(sched, specs(longest)).pairs.select("pid_a", "pid_b", F.round("distance", 9).alias("distance"))
+
+
 def sinkhorn_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Between daily mean (start, duration) points of the observed and of each model."""
-    daily = events.schedules(spark, sf_dir).groupBy("model", "act", "d").agg(F.array(F.avg("start") / 1440, F.avg("duration") / 1440).alias("x"))
+    """Between the (start, duration) points of all episodes of the observed and of each model, by activity."""
+    points = _schedules(spark, sf_dir).select("model", "act", F.array(F.col("start") / 1440, F.col("duration") / 1440).alias("x"))
     other = F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model")
-    a = daily.where(F.col("model") == OBSERVED).select(other, "act", F.lit("a").alias("side"), "x")
-    b = daily.where(F.col("model") != OBSERVED).select("model", "act", F.lit("b").alias("side"), "x")
+    a = points.where(F.col("model") == OBSERVED).select(other, "act", F.lit("a").alias("side"), "x")
+    b = points.where(F.col("model") != OBSERVED).select("model", "act", F.lit("b").alias("side"), "x")
     return sinkhorn.sinkhorn(a.unionByName(b), ["model", "act"])
 
 
@@ -337,6 +344,11 @@ QUERIES: dict[str, Query] = {
     "pairwise_hamming": partial(pairs, specs=lambda: [pairwise.PairwiseSpec("hamming", pairwise.transition_vectors, pairwise.hamming)]),
     "pairwise_chamfer": partial(pairs, specs=lambda: [pairwise.chamfer_spec()]),
     "pairwise_soft_dtw": partial(pairs, specs=lambda: [pairwise.soft_dtw_spec()]),
+    "pairwise_schedules_default": partial(schedule_pairs, specs=lambda n: pairwise.default_specs()),
+    "pairwise_schedules_participation_mae": partial(schedule_pairs, specs=lambda n: pairwise.default_specs()[:1]),
+    "pairwise_schedules_hamming": partial(schedule_pairs, specs=lambda n: [pairwise.PairwiseSpec("hamming", pairwise.transition_vectors, pairwise.hamming)]),
+    "pairwise_schedules_chamfer": partial(schedule_pairs, specs=lambda n: [pairwise.chamfer_spec(n)]),
+    "pairwise_schedules_soft_dtw": partial(schedule_pairs, specs=lambda n: [pairwise.soft_dtw_spec(n)]),
     "sinkhorn": sinkhorn_distances,
     "sliced_wasserstein": sliced,
     "feature_catalogue": feature_catalogue,
