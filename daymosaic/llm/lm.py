@@ -5,7 +5,7 @@ the hash of their last letters). A word of a shape unit has its smoothed share o
 probabilities add up to one over all known words and one unknown word per shape.
 
 Model. A position's vector is the sum over the preceding CONTEXT units of c_j * r_unit (elementwise); a unit's score is
-its product with q_unit plus a bias. Training contrasts every sampled position with noise from the unigram of units,
+its product with q_unit plus a bias. Training contrasts every position with noise from the unigram of units,
 in numpy; scoring multiplies batches of positions by all units and normalises exactly.
 
 Scale. Words are counted over all training documents and meet once in a shuffle of per-task sums. Training is data
@@ -36,8 +36,8 @@ from .common import ARROW_BYTES, pieces, ship, split_words, stored, text_remaind
 #: Words whose counts every worker holds; words that are units of their own; shapes.
 FREQUENT, WORD_UNITS, SHAPES = 131_072, 383, 128
 CONTEXT, WIDTH = 3, 32
-#: Rounds (each on its own part of the documents), positions per target, noise units, positions of a batch, first rate.
-ROUNDS, STRIDE, NOISE, BATCH, RATE = 2, 2, 32, 2048, 0.15
+#: Rounds (each on its own part of the documents), noise units, positions of a batch, first rate.
+ROUNDS, NOISE, BATCH, RATE = 2, 32, 2048, 0.15
 #: Steps that a worker takes on a piece of text, however short it is.
 LEAST_STEPS = 24
 #: Results of tasks that are averaged together before the driver sees them.
@@ -237,7 +237,7 @@ def _as_units(batches: Iterator[pa.RecordBatch], text: int, vocabulary: Vocabula
 
 
 def train(training: DataFrame, key: str, text: str, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """Rounds of data-parallel training; every training document takes part in one of them."""
+    """Rounds of data-parallel training; every training document takes part in one of them, with all its positions."""
     sc = training.sparkSession.sparkContext
     model = Model.start(vocabulary.unit_counts)
     words = sc.broadcast(vocabulary)
@@ -250,7 +250,7 @@ def train(training: DataFrame, key: str, text: str, vocabulary: Vocabulary, roun
             t = Trainer(Model(v.units, start.copy()), v.unit_counts, 1000 * turn + task)
             for p in _as_units(batches, 0, v):
                 units, before = p.units, contexts(p.units, p.starts)
-                spots = np.arange(turn % STRIDE, len(units), STRIDE)
+                spots = np.arange(len(units))
                 t.rng.shuffle(spots)
                 size = min(BATCH, max(64, len(spots) // LEAST_STEPS))
                 for at in range(0, len(spots), size):
