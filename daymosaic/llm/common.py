@@ -14,10 +14,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..storage import shared_path, stored
 
-__all__ = ["maybe_broadcast", "pieces", "release", "shared_path", "ship", "split_words", "stored", "text_remainder", "texts_of", "uniform", "with_row", "without_rows"]
+__all__ = ["maybe_broadcast", "pieces", "release", "running", "shared_path", "ship", "split_words", "spread_join", "steady", "stored", "text_remainder", "texts_of", "uniform", "with_row", "without_rows"]
 
 _shipped: set[str] = set()
 
@@ -76,17 +77,65 @@ def texts_of(batch: pa.RecordBatch, text: int) -> list[bytes]:
     return [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
 
 
+#: Plans in which every row is a row of the file below.
+_ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "View"}
+#: Copies of a narrow table that meet the parts of a hot key.
+SALTS = 32
+
+
+def steady(docs: DataFrame) -> DataFrame:
+    """docs if it is read from Parquet files row by row, else a stored copy: rows that with_row can name for good."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in _ROW_BY_ROW:
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation" and " parquet" in plan.toString() and "_metadata" not in docs.columns:
+        return docs
+    copy = docs.drop("_metadata") if "_metadata" in docs.columns else docs
+    return stored(copy, "steady")
+
+
+def _name() -> Column:
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
 def with_row(docs: DataFrame, **columns: str) -> DataFrame:
-    """row (stable for a stored table) and the named columns of docs."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
+    """row and the named columns of docs (a steady table). row names the file and the place in it, so that it is the same
+    in every scan, however files are split and whichever executors there are."""
+    return docs.select(_name().alias("row"), *[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
 
 
 def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs (a stored table) without the given rows; the columns stay as they are and texts move only if rows are many."""
-    whole = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    """docs (a steady table) without the given rows; the columns stay as they are and texts move only if rows are many."""
+    whole = docs.select(_name().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     return whole.join(maybe_broadcast(rows.select("row")), "row", "left_anti").select("doc.*")
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str, by: str, most: int | None = None) -> DataFrame:
+    """left joined with right, which is narrow and holds a key once: by broadcast if right has at most `most` rows, else by
+    a shuffle in which a key's rows are dealt to SALTS tasks by column `by` of left."""
+    most = BROADCAST_ROWS if most is None else most
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), on, how)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], rows: int, cell: int = 100_000) -> DataFrame:
+    """df with, for each name, the sum of the column over all rows before (exclusive), in the given total order.
+
+    Rows are dealt by range, so a task sorts about `cell` of them; only the parts' totals meet in one window.
+    """
+    parts = max(1, -(-rows // cell))
+    placed = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "running")
+    totals = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(above), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).join(maybe_broadcast(bases), "_part")
+    return local.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop("_part", *[f"_b_{n}" for n in sums])
+
+
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of many texts (set apart by ASCII white space; A-Z in lower case): codes of all words, the distinct words
     as bytes, and how many words each text has. Null is empty."""

@@ -5,9 +5,9 @@ postings (term, document, position) of those terms are stored in the shared fold
 after each position is moved back by the term's offset in the item, and what is left is compared word by word with
 the neighbourhood that the rarest term's postings carry as payload.
 
-Scale: text is read twice (term frequencies, postings); only postings of rare terms are kept, with no shuffle while
-the index is written. The benchmark side is broadcast in blocks of at most BLOCK_TOKENS words, so its size is bounded
-however large the benchmark is. Lists meet by (document, item, shift), which spreads a hot passage over its documents.
+Scale: text is read twice (term frequencies, postings), however long the benchmark is; only postings of rare terms are
+kept. The benchmark side of each join is broadcast if its counted rows are few, and else shuffled by term, where AQE
+splits hot terms. Lists meet by (document, item, shift), which spreads a hot passage over its documents.
 
 Defined cases: a null or wordless text has no words, no hits and is not contaminated; benchmark rows with a null
 item_id or without words are ignored; rows that repeat an item_id count as one item; repeated document rows each get
@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, without_rows
+from .common import maybe_broadcast, steady, stored, with_row, without_rows
 
 #: Characters that end a word (after A-Z are lower-cased): all ASCII but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of benchmark text that are looked up (and broadcast) at a time.
-BLOCK_TOKENS = 400_000
+#: Rows of benchmark terms, and of looked-up places with their windows, up to which they are broadcast.
+TERM_ROWS, PROBE_ROWS = 1_000_000, 200_000
 #: Stands for the end of a document in the index; its position is the document's length. No word is empty.
 END = ""
 
@@ -39,27 +39,27 @@ def words_of(text: Column) -> Column:
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None, reach: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store postings (term, row, doc_id, pos, context, lead) and one END posting per document row.
+    """Store postings (term, row, doc_id, pos, context, lead) and one END posting per document row of a steady table.
 
-    terms (term, payload boolean; small, broadcast): the terms to index; None indexes every word. Where payload is
-    true a posting carries the words up to `reach` before and after it; lead is how many of them stand before it.
+    terms (term, payload boolean): the terms to index; None indexes every word. Where payload is true a posting carries
+    the words up to `reach` before and after it; lead is how many of them stand before it.
     """
-    split = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), words_of(F.col(text)).alias("words"))
+    split = with_row(docs, doc_id=key, text=text).select("row", "doc_id", words_of(F.col("text")).alias("words"))
     tokens = split.select("row", "doc_id", "words", F.posexplode(F.concat("words", F.array(F.lit(END)))).alias("pos", "term"))
     if terms is None:
         found = tokens.withColumn("payload", F.lit(False))
     else:
         marker = terms.sparkSession.range(1).select(F.lit(END).alias("term"), F.lit(False).alias("payload"))
-        found = tokens.join(F.broadcast(terms.select("term", "payload").unionByName(marker)), "term")
+        found = tokens.join(maybe_broadcast(terms.select("term", "payload").unionByName(marker), TERM_ROWS), "term")
     lead = F.least(F.col("pos"), F.lit(reach))
     context = F.when(F.col("payload"), F.slice("words", F.col("pos") - lead + 1, lead + reach + 1))
     return stored(found.select("term", "row", "doc_id", "pos", context.alias("context"), lead.alias("lead")), "postings")
 
 
 def term_frequencies(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> DataFrame:
-    """How often each term of the vocabulary (bounded, broadcast) occurs in all documents."""
+    """How often each term of the vocabulary (a stored table) occurs in all documents."""
     tokens = docs.select(F.explode(words_of(F.col(text))).alias("term"))
-    counted = tokens.join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("freq"))
+    counted = tokens.join(maybe_broadcast(vocabulary, TERM_ROWS), "term").groupBy("term").agg(F.count("*").alias("freq"))
     return vocabulary.join(counted, "term", "left").select("term", F.coalesce("freq", F.lit(0)).alias("freq"))
 
 
@@ -86,7 +86,7 @@ def phrase_matches(index: DataFrame, probes: DataFrame) -> DataFrame:
 
     spans: start and end (exclusive) of each occurring window, in words of the document.
     """
-    met = index.where(F.col("term") != END).join(F.broadcast(probes), "term")
+    met = index.where(F.col("term") != END).join(maybe_broadcast(probes, PROBE_ROWS), "term")
     seed = F.when(F.col("windows").isNotNull(), F.struct("p", "context", "lead", "windows"))
     lists = met.groupBy("row", "item", "item_id", (F.col("pos") - F.col("p")).alias("shift")).agg(F.collect_set("p").alias("present"), F.collect_list(seed).alias("seeds"))
 
@@ -113,23 +113,18 @@ def _covered(spans: Column) -> Column:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, depth: int = 2, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document row: row, doc_id, n_words, n_hit, item_ids (sorted strings), spans (sorted, distinct).
 
-    row is monotonically_increasing_id() of docs, which is stable for a stored table. window: words of a window;
-    depth: how many of a window's rarest terms are intersected before the words are compared.
+    row names the row of docs (see common.with_row; other tables than Parquet files are stored first). window: words of
+    a window; depth: how many of a window's rarest terms are intersected before the words are compared.
     """
+    docs = steady(docs)
     items = benchmark.select(F.col(item_key).cast("string").alias("item_id"), words_of(F.col(item_text)).alias("words")).where(F.col("item_id").isNotNull() & (F.size("words") > 0))
     items = stored(items.withColumn("item", F.monotonically_increasing_id()), "items")
-    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_TOKENS))
-    lengths, found = None, None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        vocabulary = part.select(F.explode("words").alias("term")).distinct()
-        probes = stored(plan_windows(part, term_frequencies(docs, vocabulary, text), window, depth), "probes")
-        terms = probes.groupBy("term").agg(F.max(F.col("windows").isNotNull()).alias("payload"))
-        index = build_index(docs, terms, window - 1, key, text)
-        hits = phrase_matches(index, probes)
-        lengths = lengths if lengths is not None else index.where(F.col("term") == END).select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
-        found = hits if found is None else found.unionByName(hits)
+    vocabulary = stored(items.select(F.explode("words").alias("term")).distinct(), "vocabulary")
+    probes = stored(plan_windows(items, term_frequencies(docs, vocabulary, text), window, depth), "probes")
+    terms = stored(probes.groupBy("term").agg(F.max(F.col("windows").isNotNull()).alias("payload")), "terms")
+    index = build_index(docs, terms, window - 1, key, text)
+    found = phrase_matches(index, probes)
+    lengths = index.where(F.col("term") == END).select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
     per_doc = found.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     none = F.array().cast("array<string>")
     return lengths.join(per_doc, "row", "left").select("row", "doc_id", "n_words", F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), "spans")
@@ -138,16 +133,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 def proximity_matches(docs: DataFrame, phrases: DataFrame, slack: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, phrase_id, start, end): stretches of at most (distinct terms + slack) words that hold all terms of a phrase.
 
-    phrases (phrase_id, text; bounded, broadcast). Each occurrence of the phrase's rarest term is tried with the terms
+    phrases (phrase_id, text). Each occurrence of the phrase's rarest term is tried with the terms
     around it; the shortest stretch is returned, the first of equals. Phrases without words match nothing.
     """
+    docs = steady(docs)
     parsed = stored(phrases.select("phrase_id", F.array_distinct(words_of(F.col("text"))).alias("terms")).where(F.size("terms") > 0), "phrases")
     spots = parsed.select("phrase_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    vocabulary = spots.select("term").distinct()
+    vocabulary = stored(spots.select("term").distinct(), "vocabulary")
     ranked = spots.join(term_frequencies(docs, vocabulary, text), "term").withColumn("rank", F.row_number().over(Window.partitionBy("phrase_id").orderBy("freq", "term")))
     probes = stored(ranked.select("phrase_id", "n", "term", "rank"), "probes")
     index = build_index(docs, vocabulary.withColumn("payload", F.lit(False)), 0, key, text).where(F.col("term") != END)
-    lists = index.join(F.broadcast(probes), "term").select("row", "doc_id", "phrase_id", "n", "term", "rank", "pos")
+    lists = index.join(maybe_broadcast(probes, PROBE_ROWS), "term").select("row", "doc_id", "phrase_id", "n", "term", "rank", "pos")
     width = F.col("n") + slack
     # Meeting by blocks of `width` words keeps every join key small, however often a term occurs in a long text.
     anchors = lists.where("rank = 1").select("row", "doc_id", "phrase_id", "n", F.col("pos").alias("anchor"), F.explode(F.sequence((F.col("pos") / width).cast("int") - 1, (F.col("pos") / width).cast("int") + 1)).alias("cell"))
@@ -171,9 +167,14 @@ def contaminated(found: DataFrame) -> Column:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs (a stored table) without its contaminated rows; the columns stay as they are."""
+    """docs without the rows that hold any benchmark window, however long the rest of the text; the columns stay as they are.
+
+    The contract's `contaminated` asks for a twentieth of the words and would leave a passage that is quoted in a long
+    text. An item of fewer words than a window is one window, so very short items remove every text that holds them.
+    """
+    docs = steady(docs)
     found = find_contamination(docs, benchmark, key=key, text=text)
-    return without_rows(docs, stored(found.where(contaminated(found)).select("row"), "flagged"))
+    return without_rows(docs, stored(found.where("n_hit > 0").select("row"), "flagged"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

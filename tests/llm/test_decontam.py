@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from daymosaic.llm import decontam
 
@@ -56,7 +57,8 @@ def test_odd_documents_and_blocks(spark, docs_of, monkeypatch):
     docs = [*ODD, (1, "x " + items[2][1] + " y"), (2, items[3][1].upper())]
     want = brute(docs, items)
     assert run(spark, docs_of(docs), items) == want
-    monkeypatch.setattr(decontam, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(decontam, "TERM_ROWS", 4)  # beyond the bounds terms and windows meet by a shuffle
+    monkeypatch.setattr(decontam, "PROBE_ROWS", 4)
     assert run(spark, docs_of(docs), items) == want
 
 
@@ -69,7 +71,56 @@ def test_removal_keeps_clean_rows_and_columns(spark, docs_of):
     passage = " ".join(f"w{i}" for i in range(20))
     docs = docs_of([(1, passage), (2, "clean " * 50), (3, passage + " clean" * 500), (4, None), (2, "clean " * 50)])
     kept = decontam.remove_contaminated(docs, spark.createDataFrame([(1, passage)], "item_id long, text string"))
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 2, 3, 4]
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 2, 4]
+    assert decontam.find_contamination(kept, spark.createDataFrame([(1, passage)], "item_id long, text string")).where("n_hit > 0").count() == 0
+
+
+def test_rows_are_the_same_however_scans_are_split(spark, tmp_path):
+    """Row names come from the file, so rows flagged by one scan go in another whose splits differ."""
+    from daymosaic.llm import common
+
+    spark.range(20_000).selectExpr("id as doc_id", "repeat(cast(id as string), 20) as text").repartition(3).write.option("parquet.block.size", 65536).parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert common.steady(docs) is docs and common.steady(docs.where("doc_id >= 0")) is not None
+    flagged = common.stored(common.with_row(docs, doc_id="doc_id").where("doc_id % 10 = 0").select("row"), "flagged")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("60k", "200k", "64m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            left = common.without_rows(docs, flagged)
+            assert left.count() == 18_000 and left.where("doc_id % 10 = 0").count() == 0
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_tables_that_are_no_files_are_stored_once(spark):
+    from daymosaic.llm import common
+
+    for df in (spark.range(5), spark.range(5).union(spark.range(5)), spark.range(3).withColumn("_metadata", F.lit(1))):
+        kept = common.steady(df)
+        assert common.with_row(kept, id="id").select("row").distinct().count() == df.count()
+
+
+def test_joins_beyond_the_broadcast_bound(spark):
+    from daymosaic.llm import common
+
+    left = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    rows = lambda d: sorted((tuple(r) for r in d.select("k", "id", "v").collect()), key=repr)
+    for how in ("left", "inner"):
+        assert rows(common.spread_join(left, right, "k", how, "id", 0)) == rows(left.join(right, "k", how))
+
+
+def test_running_sums(spark):
+    from daymosaic.llm import common
+
+    df = spark.range(500).select("id", (F.col("id") * 7 % 13).alias("x"))
+    got = {r["id"]: r["s"] for r in common.running(df, [F.col("x"), F.col("id").desc()], {"s": F.col("x")}, 500, 60).collect()}
+    order = sorted(got, key=lambda i: (i * 7 % 13, -i))
+    total = 0
+    for i in order:
+        assert got[i] == total
+        total += i * 7 % 13
 
 
 def test_proximity(spark, docs_of):
