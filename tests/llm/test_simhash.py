@@ -1,11 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from daymosaic.llm import simhash
 
 from .conftest import ODD
@@ -72,7 +75,7 @@ def test_chains_and_hot_groups_are_whole(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "doc_id long, fp long")
     got = {r["fp"]: r["component_id"] for r in simhash.group_rows(df).collect()}
     a = np.array(prints)
-    near = np.bitwise_count(a[:, None] ^ a[None]) <= 4
+    near = np.array([[((x ^ y) & (2**64 - 1)).bit_count() <= 4 for y in prints] for x in prints])
     label = np.arange(len(a))
     while True:
         new = np.where(near, label[None], len(a)).min(1)
@@ -84,22 +87,88 @@ def test_chains_and_hot_groups_are_whole(spark):
 
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=4))
-def test_near_prints_share_a_signature(x, bits):
-    """The keys as the plan makes them: a segment with one bit left out."""
+def test_near_prints_share_a_variant(x, bits):
+    """The keys as cells and their variants make them: a segment without a third, and the third with one bit left out."""
     def keys(f):
-        return {((first + j), (f >> first) & (((1 << n) - 1) ^ (1 << j))) for first, n in simhash.segments(4) for j in range(n)}
+        return {(i, f & mask & ~(((1 << n) - 1) << at), f & (((1 << n) - 1) << at) & ~(1 << (at + j)), j) for i, (mask, at, n) in enumerate(simhash.thirds(4)) for j in range(n)}
 
     y = x
     for b in bits:
         y ^= 1 << b
-    assert len(simhash.segments(4)) == 3 and keys(x) & keys(y)
+    assert len(simhash.segments(4)) == 3 and len(simhash.thirds(4)) == 9 and keys(x) & keys(y)
 
 
-def test_fingerprints_of_signed_keys(spark):
+def test_cells_of_signed_prints(spark):
     prints = [-1, 0, 1, -(1 << 63), (1 << 63) - 1, 123456789]
-    rows = simhash.signatures(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()
-    want = {(((first + j) << 40) | (((p & (2**64 - 1)) >> first) & (((1 << n) - 1) ^ (1 << j))), p) for p in prints for first, n in simhash.segments(4) for j in range(n)}
-    assert {(r["key"], r["fp"]) for r in rows} == want and len(rows) == 64 * len(prints)
+    made = spark.createDataFrame([(p,) for p in prints], "fp long").select("fp", F.explode(F.array(*simhash.cells(F.col("fp")))).alias("c")).collect()
+    want = {(p, i, (p & (2**64 - 1)) & mask & ~(((1 << n) - 1) << at)) for p in prints for i, (mask, at, n) in enumerate(simhash.thirds(4))}
+    assert {(r["fp"], r["c"]["kind"], r["c"]["cell"] & (2**64 - 1)) for r in made} == want and len(made) == 9 * len(prints)
+
+
+def all_pairs(prints):
+    label = list(range(len(prints)))
+
+    def root(i):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for i, x in enumerate(prints):
+        for j in range(i):
+            if ((x ^ prints[j]) & (2**64 - 1)).bit_count() <= 4:
+                label[root(i)] = root(j)
+    least = {}
+    for i, x in enumerate(prints):
+        least[root(i)] = min(least.get(root(i), x), x)
+    return {x: least[root(i)] for i, x in enumerate(prints)}
+
+
+def test_distance_counts_the_highest_bit():
+    a = np.array([-(1 << 63) + 1, -1, 5], np.int64)
+    assert simhash.distance(a, np.int64(0)).tolist() == [2, 64, 2]
+
+
+def test_large_buckets_are_cut_again(spark, monkeypatch):
+    """Prints that share a segment, so that all fall into one bucket of each of its variants; and its pairs across segments."""
+    monkeypatch.setattr(simhash, "LARGE", 30)
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    rng = np.random.default_rng(3)
+    fixed = int(rng.integers(1 << 21))
+    base = [(int(rng.integers(1 << 43)) << 21) | fixed for _ in range(150)]
+    near = [b ^ sum(1 << int(i) for i in rng.choice(64, int(rng.integers(1, 6)), replace=False)) for b in base for _ in range(2)]
+    prints = np.array(sorted({x & (2**64 - 1) for x in base + near}), np.uint64).view(np.int64)
+    label = {int(p): int(p) for p in prints}
+    found = []
+    for i, (mask, at, n) in enumerate(simhash.thirds(4)):
+        cell = prints & np.int64(simhash._signed(mask & ~(((1 << n) - 1) << at)))
+        order = np.argsort(cell, kind="stable")
+        own = prints[order]
+        found += [(own[a], own[b]) for a, b in simhash.cell_edges(np.full(len(own), i), cell[order], own, 4, lambda x, y, own=own: simhash.distance(own[x], own[y]) <= 4)]
+    parent = dict(label)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in found:
+        for x, y in zip(np.atleast_1d(a).tolist(), np.atleast_1d(b).tolist(), strict=True):
+            assert ((x ^ y) & (2**64 - 1)).bit_count() <= 4
+            parent[max(root(x), root(y))] = min(root(x), root(y))
+    want = all_pairs(prints.tolist())
+    assert {x: root(x) for x in label} == want and len(set(want.values())) < len(want)
+
+
+def test_whole_cells_keep_runs_together():
+    rng = np.random.default_rng(1)
+    kind = np.sort(rng.integers(0, 3, 5000)).astype(np.int32)
+    cell = np.concatenate([np.sort(rng.integers(0, 40, n)) for n in np.bincount(kind)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(kind[a:z]), pa.array(cell[a:z])], names=["kind", "cell"]) for a, z in zip([0, 7, 7, 40, 900, 901, 905, 3000], [7, 7, 40, 900, 901, 905, 3000, 5000], strict=True)]
+    out = list(simhash.whole_cells(iter(batches), 100))
+    assert np.array_equal(np.concatenate([o[1] for o in out]), cell) and len(out) >= 3
+    for a, b in zip(out, out[1:], strict=False):
+        assert (a[0][-1], a[1][-1]) != (b[0][0], b[1][0])
 
 
 def test_one_document_of_each_group_stays(spark, docs_of):
