@@ -1,15 +1,18 @@
-"""Near copies by the Jaccard similarity of five-word shingles, for stages that op8's settings don't bind.
+"""SimHash near copies at a similarity of five-word shingles, for stages that op8's settings don't bind.
 
-Texts with equal shingle sets are one node first. BANDS keys, of BAND minima each, bring nodes together; every link is
-then checked on the whole shingle sets (as 64-bit hashes). A pair at a similarity of 0.8 shares no key with a
-probability of (1 - 0.8**BAND)**BANDS, some 10^-7.
+Two sets with a Jaccard similarity of 0.8 differ in some 15 % of SimHash bits, far more than the few bits that one print's
+segments can miss. So a text gets PRINTS independent prints of its shingle set, each indexed by deletion-variant
+signatures as in simhash, and a pair is a candidate where one segment of one print differs by at most one bit, that
+print by at most RADIUS bits and the next print by at most NEXT. At a similarity of exactly 0.8 a pair is a candidate
+with a probability of some 0.98, at 0.85 of 0.998 (README: measured). Links are then decided on the whole sets of shingle hashes.
 
-A bucket's members are first compared with its smallest member and with their neighbours in size. Then all pairs of a
-bucket that these links left in different components are compared. So each pair that shares a key is either linked
-through others or tested, and a large group of copies costs its size, not its square.
+Texts with equal sets are one node first. A cell of the index emits spanning forests of its candidates, so a large group of
+copies costs its size, not its square. Where a forest's links turn out to be less similar, so that its members are left
+in several components, the pairs of that forest that are candidates and still apart are compared as well; so each
+candidate pair is either linked through others or tested.
 
 Defined cases: null and wordless texts have the same empty set; texts shorter than a shingle are one shingle; letters
-A-Z are lower-cased and words are set apart by ASCII white space, as in simhash.
+A-Z are lower-cased and words are set apart by ASCII white space, as in simhash; a node is the 64-bit hash of its set.
 """
 
 from __future__ import annotations
@@ -18,18 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .common import maybe_broadcast, pieces, ship, stored, texts_of, with_row, without_rows
-from .simhash import components
+from .common import maybe_broadcast, pieces, ship, spread_join, steady, stored, texts_of, with_row, without_rows
+from .simhash import cell_edges, cells, components, distance, thirds, whole_cells
 
 SEED, SHINGLE, LEAST = 42, 5, 0.8
-BANDS, BAND = 40, 5
-#: Shingles whose hashes are worked on at once.
-CHUNK = 1024
+#: Prints of a text, bits in which a pair may differ in the print whose segment it shares, and in the next print.
+PRINTS, RADIUS, NEXT = 8, 12, 18
+#: Segments are cut as for this radius: three of 21 or 22 bits.
+CUT = 4
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -41,21 +45,21 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A key per band; none for an empty set."""
-    import xxhash
-
-    if not len(hashes):
-        return []
-    rng = np.random.default_rng(SEED)
-    odd, flip = rng.integers(0, 1 << 63, (2, BANDS * BAND, 1), np.uint64)
-    odd = odd * np.uint64(2) + np.uint64(1)
-    least = np.min([((hashes[at : at + CHUNK] ^ flip) * odd).min(1) for at in range(0, len(hashes), CHUNK)], 0)
-    return [xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least.reshape(BANDS, BAND))]
+def prints_of(hashes: np.ndarray) -> np.ndarray:
+    """PRINTS independent SimHashes of a set, as signed numbers: a bit is 1 if set in over half the hashes."""
+    ones = np.zeros(64 * PRINTS, np.int64)
+    salts = (np.arange(1, PRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for at in range(0, len(hashes), 255):  # so that sums fit a byte
+        x = hashes[at : at + 255, None] ^ salts
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
 
 
 def marks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, doc_id, node, size, keys) of every document row; node is a hash of the whole set."""
+    """(row, doc_id, node, size, prints) of every row of a steady table; node is a hash of the whole set."""
     ship(docs.sparkSession)
     slim = with_row(docs, doc_id=key, text=text)
 
@@ -66,10 +70,38 @@ def marks(docs: DataFrame, key: str, text: str) -> DataFrame:
             for b in pieces(batch, 2):
                 sets = [shingles(x) for x in texts_of(b, 2)]
                 node = pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], pa.int64())
-                keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, pa.array([len(s) for s in sets], pa.int64()), keys], names=["row", "doc_id", "node", "size", "keys"])
+                prints = pa.array([prints_of(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, pa.array([len(s) for s in sets], pa.int64()), prints], names=["row", "doc_id", "node", "size", "prints"])
+
+    return slim.mapInArrow(run, slim.drop("text").schema.add("node", "long").add("size", "long").add("prints", T.ArrayType(T.LongType())))
+
 
-    return slim.mapInArrow(run, slim.drop("text").schema.add("node", "long").add("size", "long").add("keys", T.ArrayType(T.LongType())))
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(tree, u, v): edges of the forests of candidates in the index's cells; tree names the cell's forest."""
+    kinds = len(thirds(CUT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get().partitionId(), 0
+        for kind, cell, own, following, node in whole_cells(batches):
+            near = lambda a, b, x=own, y=following: (distance(x[a], x[b]) <= RADIUS) & (distance(y[a], y[b]) <= NEXT)
+            found = list(cell_edges(kind, cell, own, CUT, near))
+            if not found:
+                continue
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            # All edges of a cell are one tree, whatever the bit that was left out.
+            number = np.cumsum(np.concatenate([[0], (kind[1:] != kind[:-1]) | (cell[1:] != cell[:-1])]))[a]
+            edges = np.unique(np.stack([number, np.maximum(node[a], node[b]), np.minimum(node[a], node[b])]), axis=1)
+            trees = (task << 40) + count + edges[0]
+            count += int(number.max()) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(trees), pa.array(edges[1]), pa.array(edges[2])], names=["tree", "u", "v"])
+
+    def entries(i: int) -> list[Column]:
+        own, following = F.col("prints")[i], F.col("prints")[(i + 1) % PRINTS]
+        return [F.struct(c["kind"].alias("kind"), c["cell"].alias("cell"), own.alias("own"), following.alias("following")) for c in cells(own, CUT, i * kinds)]
+
+    each = [e for i in range(PRINTS) for e in entries(i)]
+    met = nodes.select(F.explode(F.array(*each)).alias("c"), "node").select("c.*", "node")
+    return met.repartition("kind", "cell").sortWithinPartitions("kind", "cell").mapInArrow(run, "tree long, u long, v long")
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
@@ -93,35 +125,39 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.where(F.col("common") >= F.lit(least) * (F.size("u_set") + F.size("v_set") - F.col("common"))).select("u", "v")
 
 
-def _pairs(found: DataFrame, least: float) -> DataFrame:
-    """Distinct (u, v), u > v, of (node, size, other, other_size) whose sizes allow the similarity."""
-    fits = F.least("size", "other_size") >= F.lit(least) * F.greatest("size", "other_size")
-    return found.where((F.col("node") != F.col("other")) & fits).select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+def fitting(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets' sizes allow the similarity."""
+    a, b = (nodes.select(F.col("node").alias(n), F.col("size").alias(f"{n}_size")) for n in ("u", "v"))
+    return pairs.join(a, "u").join(b, "v").where(F.least("u_size", "v_size") >= F.lit(least) * F.greatest("u_size", "v_size")).select("u", "v")
+
+
+def near_links(nodes: DataFrame, sets: DataFrame, trees: DataFrame, least: float) -> DataFrame:
+    """Distinct (u, v) of similar nodes, enough to connect what all similar candidates would."""
+    first = stored(similar(fitting(trees.select("u", "v").distinct(), nodes, least), sets, least), "near")
+    roots = components(first).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    members = stored(trees.select("tree", F.explode(F.array("u", "v")).alias("node")).distinct(), "members")
+    own = spread_join(members, stored(roots, "roots"), "node", "left", "tree").withColumn("root", F.coalesce("root", "node"))
+    own = stored(own, "own")
+    split = own.groupBy("tree").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tree")
+    apart = stored(own.join(split, "tree").join(nodes.select("node", "size", "prints"), "node"), "apart")
+    other = apart.select("tree", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "size", "prints")])
+    differ = F.zip_with("prints", "other_prints", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    met = apart.join(other, "tree").where("root < other_root").where(F.least("size", "other_size") >= F.lit(least) * F.greatest("size", "other_size"))
+    met = met.withColumn("differ", differ).where(F.exists("differ", lambda d: d <= RADIUS))
+    second = met.select(F.greatest("node", "other_node").alias("u"), F.least("node", "other_node").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    return first.unionByName(similar(second, sets, least)).distinct()
 
 
 def drop_near_copies(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs (a stored table) with one row of each component of the links: that of the smallest doc_id (nulls last)."""
+    """docs with one row of each component of the links: that of the smallest doc_id (nulls last)."""
+    docs = steady(docs)
     rows = stored(marks(docs, key, text), "marks")
-    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    bucket = Window.partitionBy("key")
-    spread = nodes.select("row", "node", "size", F.explode("keys").alias("key"))
-    ranked = spread.withColumns({
-        "hub": F.first(F.struct("size", "node")).over(bucket.orderBy("size", "node")),
-        "before": F.lag(F.struct("size", "node")).over(bucket.orderBy("size", "node")),
-        "after": F.lead("node").over(bucket.orderBy("size", "node")),
-    })
-    met = stored(ranked.where("before is not null or after is not null"), "met")
-    sets = sets_of(docs, met.select("row", "node").distinct(), text)
-    to = lambda c: met.where("before is not null").select("node", "size", F.col(f"{c}.node").alias("other"), F.col(f"{c}.size").alias("other_size"))
-    first = stored(similar(_pairs(to("hub").unionByName(to("before")), least), sets, least), "near")
-    stars = components(first)
-    own = met.select("key", "node", "size").join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ends = own.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low < high").select("key", "node", "size", "root")
-    apart = stored(ends, "apart")
-    others = apart.select("key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
-    second = similar(_pairs(apart.join(others, "key").where("root < other_root"), least), sets, least)
-    roots = components(first.unionByName(second).distinct()).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    groups = stored(rows.select("row", "doc_id", "node").join(roots, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("root")), "rows")
+    nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("prints").alias("prints")), "nodes")
+    trees = stored(candidates(nodes.where("size > 0")), "trees")
+    named = trees.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = sets_of(docs, stored(nodes.join(named, "node").select("row", "node"), "named"), text)
+    roots = stored(components(near_links(nodes, sets, trees, least)).select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
+    groups = stored(spread_join(rows.select("row", "doc_id", "node"), roots, "node", "left", "row").select("row", "doc_id", F.coalesce("root", "node").alias("root")), "rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
     kept = groups.groupBy("root").agg(best.alias("row")).select("row")
     return without_rows(docs, stored(groups.select("row").join(kept, "row", "left_anti"), "dropped"))
