@@ -1,3 +1,4 @@
+import math
 """Exact top-k search, archives, and license scans."""
 
 import base64
@@ -6,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from daymosaic.llm import licenses, topk, warc
 
@@ -13,31 +15,52 @@ from ..conftest import same_rows
 from .conftest import ODD
 
 
-def brute_top(rows, k, every=100):
-    good = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v):
-            good[i] = max(good.get(i, v), v)
-    scaled = {i: np.floor(1024 * np.array(v, float)).astype(int) for i, v in good.items()}
+def brute_top(rows, k):
+    """Python's integers; every row but the query's own is a candidate; rows without id stand last among equals."""
+    good = [(i, [math.floor(1024 * c) for c in v]) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
     out = []
-    for q, x in scaled.items():
-        if q % every == 0:
-            scores = sorted((-int(x @ y), i) for i, y in scaled.items() if i != q and len(y) == len(x))
-            out += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
-    return sorted(out)
+    for n, (q, x) in enumerate(good):
+        if q is not None and q % 100 == 0:
+            found = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i is None, i or 0) for m, (i, y) in enumerate(good) if m != n and len(y) == len(x))
+            out += [(q, rank, None if none else i, -score) for rank, (score, none, i) in enumerate(found[:k], 1)]
+    return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("seed", "spread"), [(0, 1.0), (1, 0.003)])
-def test_top_k_equals_brute_force(spark, monkeypatch, seed, spread):
-    """Small spread gives many equal scores."""
+def got_top(df, k, **options):
+    return sorted(((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_top_k(df, k, **options).collect()), key=repr)
+
+
+@pytest.mark.parametrize(("seed", "spread", "kind"), [(0, 1.0, "float"), (1, 0.002, "float"), (2, 1e4, "double")])
+def test_top_k_equals_brute_force(spark, monkeypatch, seed, spread, kind):
+    """Small spread gives many equal scores, lengths differ by a factor of 50, ids repeat."""
     rng = np.random.default_rng(seed)
-    rows = [(i, rng.normal(0, spread, 6).astype(np.float32).tolist()) for i in range(-200, 500)]
-    rows += [(700, None), (800, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (900, [float("nan")] * 6), (1000, [float("inf")] * 6), (1100, [0.0] * 6), (1200, [1.0]), (1201, [2.0]), (100, [9.0] * 6), (100, [9.0] * 6), (None, [1.0] * 6), (1300, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    monkeypatch.setattr(topk, "BLOCK", 128)
-    monkeypatch.setattr(topk, "QUERIES", 3)
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.exact_top_k(df, 5).collect())
-    assert got == brute_top(rows, 5)
+    number = (lambda x: x.astype(np.float32).tolist()) if kind == "float" else (lambda x: x.tolist())
+    rows = [(i, number(rng.normal(0, spread * rng.choice([1, 50]), 6))) for i in range(-200, 500)]
+    rows += [(700, None), (800, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (900, [float("nan")] * 6), (1000, [float("inf")] * 6), (1100, [0.0] * 6), (1200, [1.0]), (1201, [2.0]), (100, [9.0] * 6), (100, [9.0] * 6), (None, [9.0] * 6), (None, [1.0] * 6), (1300, [])]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumn("row", F.lit(1))
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 128 * 6 * 8)
+    assert got_top(df, 5) == brute_top(rows, 5)
+
+
+def test_large_scores_are_exact_or_an_error(spark):
+    rows = [(0, [20000.0, 1.0]), (1, [30000.0, 0.0]), (2, [20000.0, 5.0]), (100, [2.0**40, -(2.0**40)]), (3, [2.0**40 + 1, 2.0**40])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got_top(df.where("vec_id < 3"), 3) == brute_top(rows[:3], 3)
+    assert [r[:3] for r in got_top(df.where("vec_id in (0, 1, 2)"), 2)] == [(0, 1, 1), (0, 2, 2)]
+    assert got_top(df.where("vec_id in (100, 3)"), 3) == [(100, 1, 3, 1 << 60)]  # the products need 120 bits, their sum 61
+    with pytest.raises(Exception, match="OVERFLOW|CAST"):
+        got_top(spark.createDataFrame([(0, [2.0**30]), (1, [2.0**30])], "vec_id long, embedding array<double>"), 1)
+
+
+def test_bands_that_cannot_win_are_not_read(spark):
+    """Short vectors are never scored once the long ones gave k scores; reading stops early where few dimensions matter."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(0, 1, 4) * (1000 if i % 7 == 0 else 1) * np.array([1, 0.1, 0.01, 0.001])).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got_top(df, 10) == brute_top(rows, 10)
+    long = {i for i, _ in rows if i % 7 == 0}
+    best = topk.exact_top_k(df).collect()
+    assert sum(r["scored"] < 400 for r in best if r["query_id"] in long) > 0
 
 
 def test_reading_stops_early_when_one_dimension_decides():
@@ -49,10 +72,9 @@ def test_reading_stops_early_when_one_dimension_decides():
     assert scored < 1000 and ids.tolist() == np.lexsort((np.arange(4000), -(v @ np.array([1000.0, 1, 0, 0, 0, 0, 0, -1]))))[:10].tolist()
 
 
-def test_great_components_and_empty_tables(spark):
-    df = spark.createDataFrame([(0, [1e30, -1e30]), (1, [1e30, 1.0]), (2, [2.0, -1e30])], "vec_id long, embedding array<double>")
-    assert [r["vec_id"] for r in topk.exact_top_k(df).orderBy("rank").collect()] == [2, 1]
-    assert topk.exact_top_k(df.limit(0)).count() == 0
+def test_no_vectors(spark):
+    df = spark.createDataFrame([(0, [1e30, -1e30])], "vec_id long, embedding array<double>")
+    assert topk.exact_top_k(df.limit(0)).count() == 0 and topk.exact_top_k(df).count() == 0
 
 
 def test_top_k_query_equals_sql(spark, sf, duck):
