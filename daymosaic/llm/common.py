@@ -80,7 +80,7 @@ def texts_of(batch: pa.RecordBatch, text: int) -> list[bytes]:
 #: Plans in which every row is a row of the file below.
 _ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "View"}
 #: Copies of a narrow table that meet the parts of a hot key.
-SALTS = 32
+SALTS = 8
 
 
 def steady(docs: DataFrame) -> DataFrame:

@@ -1,54 +1,91 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and their stems of four and five letters. Those that go with the label are selected on a bounded sample
-of labelled documents, counting near copies once; term and document frequencies for the weights cover all documents.
-The examples' vectors form an inverted index with the maximum weight per term and block. A document's blocks are read
-in the order of their bounds until no block left can hold a nearer example, so the neighbours are exact. Neighbours
-vote with their cosine as weight, next to the rate among examples without any term, and the vote is calibrated by
-isotonic regression on the examples' own votes, each without its near copies.
-
-Scale: texts are read once per pass by narrow maps; the driver holds the sample's vectors only (MOST_TOXIC +
-MOST_CLEAN examples, TERMS terms).
-
-Defined cases: null, empty or wordless texts have no terms and get the rate of such examples; without labelled examples
-all scores are 0; a document with several labels counts as toxic if any says so; null labels are ignored; repeated rows
-get a row each; ties among neighbours go to the earlier example; other columns are not read.
+Terms are all words (runs of letters in lower case) of the examples, a bounded sample of labelled documents, and these
+words' first four and five letters, as many languages bend the ends of words. A term's weight is (1 + ln tf) * idf *
+relevance: idf from its document frequency in all documents, relevance from FLOOR to 1 by how far the term goes with
+either label among the examples (chi-square over chi-square + HALF). No term is left out, so a document without telling
+words has neighbours too. Near copies among the examples are one example with their mean label.
+
+The examples' unit vectors form an inverted index with the maximum weight per term and block. Lists of terms that many
+examples hold are kept whole and multiplied for many documents at once; a block's bound is the greatest such sum in it plus
+its other terms' maxima. Blocks are read in the order of their bounds until no block left can hold a nearer example, so
+the neighbours are exact. Neighbours
+vote with their cosine as weight, next to the rate among all examples, and the vote is calibrated by isotonic regression
+on the examples' own votes, each without itself.
+
+Scale: texts are read twice, for document frequencies and scores, by narrow maps; the driver and each worker hold the
+examples' vectors and words only (at most some MOST_TOXIC + MOST_CLEAN documents, one per id).
+
+Defined cases: null, empty or wordless texts, and texts without any word of the examples, get the rate; without labelled
+examples all scores are 0; a document with several labels counts as toxic if any says so; null labels are ignored; of rows
+that repeat a labelled id the greatest text is the example; repeated rows get a score each; ties among neighbours go to
+the example that stands first, toxic ones before others, then by id; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, ship, stored, text_remainder, texts_of, uniform, with_row, without_rows
+from .common import pieces, ship, steady, stored, text_remainder, uniform, with_row, without_rows
 
-#: Bounds of the fitted sample and of the selected terms.
-MOST_TOXIC, MOST_CLEAN, TERMS = 2_000, 4_000, 1_024
-#: A term is selected from this chi-square value on, over copies counted once.
-LEAST_CHI2 = 30.0
+#: Bounds of the fitted sample.
+MOST_TOXIC, MOST_CLEAN = 1_000, 2_000
+#: Least relevance of a term, and the chi-square at which it is half.
+FLOOR, HALF = 0.01, 20.0
 NEIGHBOURS, BLOCK, PRIOR = 15, 32, 0.5
+#: A term that one example in so many holds has a whole list.
+WHOLE = 16
+#: Documents whose whole lists are multiplied at once.
+BATCH = 256
 THRESHOLD = 0.7
-#: Documents that a task scores.
-TASK_ROWS = 8_192
-WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: bytes) -> list[str]:
-    return WORD.findall(text.decode("utf-8", "replace").lower())
+def words_in(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Codes of all words of many texts, the distinct words, and how many words each text has. Null is empty."""
+    texts = pc.fill_null(texts, "")
+    try:
+        lists = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}]+")
+    except pa.ArrowInvalid:  # not UTF-8
+        fixed = pa.array([x.decode("utf-8", "replace") for x in texts.cast(pa.binary()).to_pylist()])
+        lists = pc.split_pattern_regex(pc.utf8_lower(fixed), r"[^\p{L}]+")
+    coded = lists.flatten().dictionary_encode()
+    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    if "" in words:  # stands before and after other characters at a text's ends
+        keep = codes != words.index("")
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+        codes = codes[keep]
+    return codes, words, sizes
 
 
 def terms_of(word: str) -> tuple[str, ...]:
-    """A word and its stems; a stem ends in a star."""
+    """A word and its beginnings; these end in a star."""
     return (word,) + ((word[:4] + "*",) if len(word) > 4 else ()) + ((word[:5] + "*",) if len(word) > 5 else ())
 
 
+def counted(texts: pa.Array, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the known terms of each text, ascending, how often they occur, and how many there are per text."""
+    codes, words, sizes = words_in(texts)
+    get = number.get
+    table = np.full((len(words) + 1, 3), -1, np.int64)
+    for i, w in enumerate(words):
+        for j, t in enumerate(terms_of(w)):
+            table[i, j] = get(t, -1)
+    numbers = table[codes]
+    width = max(1, len(number))
+    keys = (np.repeat(np.arange(len(sizes)), sizes) * width)[:, None] + numbers
+    pairs, tf = np.unique(keys[numbers >= 0], return_counts=True)
+    return pairs % width, tf, np.bincount(pairs // width, minlength=len(sizes))
+
+
 def sketch(words: list[str]) -> list[int]:
     """Four keys, of two minima each, over shingles of five words; texts that share a key are taken for copies."""
     import xxhash
@@ -88,108 +125,171 @@ def labelled_ids(labels: DataFrame, key: str, label: str, held_out: tuple[int, i
     return stored(chosen, "labelled"), {t: 1 / s for t, s in share.items()}
 
 
-def select_terms(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> tuple[list[str], dict[int, int]]:
-    """The selected terms, and for each sampled row the group of its copies."""
-    slim = with_row(docs, doc_id=key, text=text).join(F.broadcast(chosen), "doc_id").select("row", "toxic", "text")
+class Examples:
+    """The labelled sample: one entry per group of copies, its terms by number, their counts, mean label and weight."""
+
+    def __init__(self, rows: list[tuple], stands: dict[int, float]) -> None:
+        rows = sorted(rows, key=lambda r: (-r[1], r[0]))
+        groups = copies([r[2] for r in rows])
+        first, entry = np.unique(groups, return_index=True), {}
+        order = sorted(first[1].tolist())
+        for place, i in enumerate(order):
+            entry[groups[i]] = place
+        member = np.array([entry[g] for g in groups.tolist()], np.int64) if rows else np.zeros(0, np.int64)
+        toxic = np.array([r[1] for r in rows], float)
+        weight = np.array([stands[int(t)] for t in toxic])
+        self.ids = [rows[i][0] for i in order]
+        size = np.bincount(member, minlength=len(order))
+        self.label = np.bincount(member, toxic, len(order)) / np.maximum(1, size)
+        self.weight = np.bincount(member, weight, len(order)) / np.maximum(1, size)
+        self.number: dict[str, int] = {}
+        self.vectors = []
+        for i in order:
+            found: Counter[int] = Counter()
+            for w, n in zip(rows[i][3], rows[i][4], strict=True):
+                for t in terms_of(w):
+                    found[self.number.setdefault(t, len(self.number))] += n
+            at = np.array(sorted(found), np.int64)
+            self.vectors.append((at, np.array([found[t] for t in at.tolist()], float)))
+
+    def relevance(self) -> np.ndarray:
+        """FLOOR to 1 for every word, by the chi-square (with Yates's correction) of its presence and the label."""
+        n, t = len(self.label), float(self.label.sum())
+        a, b = np.zeros(len(self.number)), np.zeros(len(self.number))
+        for (at, _), y in zip(self.vectors, self.label.tolist(), strict=True):
+            a[at] += y
+            b[at] += 1 - y
+        c = n - t
+        spread = t * c * (a + b) * (n - a - b)
+        off = np.maximum(0, np.abs(a * (c - b) - b * (t - a)) - n / 2)
+        chi2 = np.where(spread > 0, n * off**2 / np.where(spread > 0, spread, 1), 0.0)
+        return FLOOR + (1 - FLOOR) * chi2 / (chi2 + HALF)
+
+
+def read_examples(docs: DataFrame, chosen: DataFrame, stands: dict[int, float], key: str, text: str) -> Examples:
+    """The chosen documents, one per id; bounded by the sample."""
+    slim = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = slim.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row, toxic, t in zip(b.column(0), b.column(1), texts_of(b, 2), strict=True):
-                words = words_of(t)
-                terms = sorted({x for w in set(words) for x in terms_of(w)})
-                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()]), pa.array([toxic.as_py()], pa.int32()), pa.array([sketch(words)], pa.list_(pa.int64())), pa.array([terms], pa.list_(pa.string()))], names=["row", "toxic", "keys", "terms"])
-
-    examples = stored(slim.mapInArrow(run, "row long, toxic int, keys array<long>, terms array<string>"), "examples")
-    rows = sorted(examples.select("row", "keys", "toxic").collect())  # bounded by the sample
-    groups = copies([r["keys"] for r in rows])
-    if not rows:
-        return [], {}
-    spark = docs.sparkSession
-    grouped = spark.createDataFrame(list(zip([r["row"] for r in rows], groups.tolist(), strict=True)), "row long, copy long")
-    t, c = (len({(g) for g, r in zip(groups.tolist(), rows, strict=True) if r["toxic"] == k}) for k in (1, 0))
-    found = examples.join(F.broadcast(grouped), "row").select("toxic", "copy", F.explode("terms").alias("term")).distinct()
-    counts = found.groupBy("term").agg(F.count_if(F.col("toxic") == 1).cast("double").alias("a"), F.count_if(F.col("toxic") == 0).cast("double").alias("b"))
-    miss_a, miss_b = F.lit(float(t)) - F.col("a"), F.lit(float(c)) - F.col("b")
-    spread = F.lit(float(t) * float(c)) * (F.col("a") + F.col("b")) * (miss_a + miss_b)
-    chi2 = F.when(spread > 0, float(t + c) * F.pow(F.col("a") * miss_b - F.col("b") * miss_a, F.lit(2)) / F.when(spread > 0, spread))
-    best = counts.withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (F.col("a") >= 3) & (F.col("a") / max(1, t) > F.col("b") / max(1, c)))
-    terms = [r["term"] for r in best.orderBy(F.desc("chi2"), "term").limit(TERMS).collect()]
-    return terms, dict(zip([r["row"] for r in rows], groups.tolist(), strict=True))
-
-
-def vectors(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
-    """Stored (row, doc_id, at, tf): numbers of the selected terms in each document, and how often they occur."""
-    ship(docs.sparkSession)
-    slim = with_row(docs, doc_id=key, text=text)
-    number = {t: i for i, t in enumerate(terms)}
-    begins = {t.rstrip("*")[:4] for t in terms}
-    sent = docs.sparkSession.sparkContext.broadcast((number, begins))
+        for batch in batches:
+            for b in pieces(batch, 2):
+                codes, words, sizes = words_in(b.column(2))
+                keys, terms, counts = [], [], []
+                for c in np.split(codes, np.cumsum(sizes)[:-1]):
+                    keys.append(sketch([words[i] for i in c.tolist()]))
+                    distinct, n = np.unique(c, return_counts=True)
+                    terms.append([words[i] for i in distinct.tolist()])
+                    counts.append(n)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], names=["doc_id", "toxic", "keys", "terms", "counts"])
+
+    schema = once.select("doc_id", "toxic").schema
+    for name, kind in (("keys", T.LongType()), ("terms", T.StringType()), ("counts", T.LongType())):
+        schema = schema.add(name, T.ArrayType(kind))
+    return Examples([tuple(r) for r in once.mapInArrow(run, schema).collect()], stands)
+
+
+def document_frequencies(docs: DataFrame, number: dict[str, int], text: str) -> tuple[np.ndarray, int]:
+    """In how many documents each word occurs, and how many documents there are."""
+    sent = docs.sparkSession.sparkContext.broadcast(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, begins = sent.value
+        known, total = sent.value, 0
+        df = np.zeros(len(known) + 1, np.int64)
         for batch in batches:
-            for b in pieces(batch, 2):
-                at, tf = [], []
-                for t in texts_of(b, 2):
-                    found: Counter[int] = Counter()
-                    for w in words_of(t) if begins else ():
-                        if w[:4] in begins:
-                            found.update(number[x] for x in terms_of(w) if x in number)
-                    at.append(list(found))
-                    tf.append(list(found.values()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], names=["row", "doc_id", "at", "tf"])
+            for b in pieces(batch, 0):
+                at, _, _ = counted(b.column(0), known)
+                df += np.bincount(at, minlength=len(df))
+                total += b.num_rows
+        df[-1] = total
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(df[found])], names=["term", "n"])
 
-    return stored(slim.mapInArrow(run, slim.drop("text").schema.add("at", T.ArrayType(T.IntegerType())).add("tf", T.ArrayType(T.IntegerType()))), "vectors")
+    parts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "term long, n long")
+    found = parts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per word of the examples at most
+    df = np.zeros(len(number) + 1, np.int64)
+    df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return df[:-1], int(df[-1])
 
 
 class BlockMaxIndex:
-    """Inverted lists of the examples' unit vectors; `ceiling` has each term's greatest weight in each block."""
+    """Lists of the examples' unit vectors: whole ones, and others cut into blocks of examples; a cell is what a term has in
+    a block, and `ceiling` its greatest weight."""
 
     def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], terms: int) -> None:
         self.n = len(examples)
-        self.blocks = -(-self.n // BLOCK)
+        self.blocks = max(1, -(-self.n // BLOCK))
         who = np.repeat(np.arange(self.n), [len(a) for a, _ in examples]).astype(np.int64)
         term = np.concatenate([a for a, _ in examples]) if self.n else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in examples]) if self.n else np.zeros(0)
+        held = np.bincount(term, minlength=terms)
+        many = np.flatnonzero(held > max(BLOCK, self.n // WHOLE))
+        self.place = np.full(terms, -1)  # row of a term's whole list
+        self.place[many] = np.arange(len(many))
+        self.whole = np.zeros((len(many), self.blocks * BLOCK))
+        often = self.place[term] >= 0
+        self.whole[self.place[term[often]], who[often]] = weight[often]
+        who, term, weight = who[~often], term[~often], weight[~often]
         order = np.lexsort((who, term))
-        self.who, self.weight = who[order], weight[order]
+        self.who, self.weight = who[order].astype(np.int32), weight[order]
         cell = term[order] * self.blocks + self.who // BLOCK
-        self.ends = np.searchsorted(cell, np.arange(terms * self.blocks + 1)) if self.n else np.zeros(1, np.int64)
-        self.ceiling = np.zeros((terms, self.blocks))
-        np.maximum.at(self.ceiling.reshape(-1), cell, self.weight)
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with a cosine above 0; leave: examples that don't count."""
-        bound = weight @ self.ceiling[at]
+        names, self.first = np.unique(cell, return_index=True)
+        self.many = np.diff(np.append(self.first, len(cell)))
+        self.block = (names % self.blocks).astype(np.int32)
+        self.ceiling = np.maximum.reduceat(self.weight, self.first) if len(cell) else np.zeros(0)
+        self.cells = np.searchsorted(names, np.arange(terms + 1) * self.blocks)  # where a term's cells begin
+
+    def sums_of_whole(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What whole lists add to every example's cosine, for many documents."""
+        dense = np.zeros((len(vectors), len(self.whole)))
+        for i, (at, weight) in enumerate(vectors):
+            row = self.place[at]
+            dense[i, row[row >= 0]] = weight[row >= 0]
+        return dense @ self.whole
+
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, leave: int = -1, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Numbers and cosines of the k nearest examples with a cosine above 0, and how many blocks were read; leave: an
+        example that doesn't count; start: this document's sums of whole lists, if they are known."""
+        start = self.sums_of_whole([(at, weight)])[0] if start is None else start
+        cut = self.place[at] < 0
+        begin, end = self.cells[at[cut]], self.cells[at[cut] + 1]
+        cells = _ranges(begin, end - begin)
+        own, block = np.repeat(weight[cut], end - begin), self.block[cells]
+        bound = start.reshape(self.blocks, BLOCK).max(1) + np.bincount(block, own * self.ceiling[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best, cosine, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
         while done < len(order):
             if len(best) == k and bound[order[done]] < cosine[-1] - 1e-12:
                 break
-            some = order[done : done + step]
-            cells = (at[:, None] * self.blocks + some[None, :]).ravel()
-            first, last = self.ends[cells], self.ends[cells + 1]
-            sizes = last - first
-            upto = np.cumsum(sizes)
-            spots = np.repeat(first - upto + sizes, sizes) + np.arange(upto[-1])
-            who, where = np.unique(self.who[spots], return_inverse=True)
-            sums = np.bincount(where, self.weight[spots] * np.repeat(np.repeat(weight, len(some)), sizes))
-            if leave is not None:
-                free = ~np.isin(who, leave)
-                who, sums = who[free], sums[free]
-            who, sums = np.concatenate([best, who]), np.concatenate([cosine, sums])
+            some = np.zeros(self.blocks, bool)
+            some[order[done : done + step]] = True
+            here = some[block]
+            first, many = self.first[cells[here]], self.many[cells[here]]
+            spots = _ranges(first, many)
+            sums = np.where(np.repeat(some, BLOCK), start, 0) + np.bincount(self.who[spots], self.weight[spots] * np.repeat(own[here], many), len(start))
+            if leave >= 0:
+                sums[leave] = 0
+            who = np.flatnonzero(sums > (max(0.0, cosine[-1] - 1e-12) if len(best) == k else 0.0))
+            who, sums = np.concatenate([best, who]), np.concatenate([cosine, sums[who]])
             top = np.lexsort((who, -sums))[:k]
             best, cosine, done, step = who[top], sums[top], done + step, step * 2
-        return best, cosine
+        return best, cosine, min(done, len(order))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each start and size, in a row."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of the non-decreasing fit of y on x (pool adjacent violators)."""
+    values, where = np.unique(x, return_inverse=True)
+    sums, weights = np.bincount(where, y * w), np.bincount(where, w)
     pools: list[list[float]] = []
-    for v in np.unique(x):
-        here = x == v
-        pools.append([v, v, float((y[here] * w[here]).sum()), float(w[here].sum())])
+    for v, s, n in zip(values.tolist(), sums.tolist(), weights.tolist(), strict=True):
+        pools.append([v, v, s, n])
         while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
             last = pools.pop()
             pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
@@ -200,73 +300,65 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Classifier:
     """Index, weights and calibration."""
 
-    def __init__(self, idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, stands: np.ndarray, groups: np.ndarray) -> None:
-        self.idf = idf
-        full = np.array([len(a) > 0 for a, _ in rows], bool)
-        empty = ~full
-        rate = (stands[empty] * toxic[empty]).sum() / max(1e-9, stands[empty].sum()) if empty.any() else (stands * toxic).sum() / max(1e-9, stands.sum())
-        self.rate = float(np.clip(rate, 0, 1)) if len(rows) else 0.0
-        vectors = [self.unit(a, tf) for (a, tf), f in zip(rows, full, strict=True) if f]
-        self.toxic = toxic[full].astype(float)
-        self.index = BlockMaxIndex(vectors, len(idf))
+    def __init__(self, examples: Examples, df: np.ndarray, total: int) -> None:
+        self.term_weight = np.log((2 + total) / (1 + df)) * examples.relevance()
+        self.label, weight = examples.label, examples.weight
+        self.rate = float(weight @ self.label / weight.sum()) if len(weight) else 0.0
+        vectors = [self.unit(at, tf) for at, tf in examples.vectors]
+        self.index = BlockMaxIndex(vectors, len(df))
         self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         if len(vectors):
-            own = groups[full]
-            members = {g: np.flatnonzero(own == g) for g in np.unique(own)}
-            votes = np.array([self.vote(*self.index.nearest(*v, leave=members[g])) for v, g in zip(vectors, own, strict=True)])
-            x, y, w = np.append(votes, self.rate), np.append(self.toxic, self.rate), np.append(stands[full], max(1.0, stands[empty].sum()))
-            self.knots = isotonic(x, y, w)
+            votes = np.array([self.vote(*self.index.nearest(*v, leave=i)[:2]) for i, v in enumerate(vectors)])
+            self.knots = isotonic(np.append(votes, self.rate), np.append(self.label, self.rate), np.append(weight, weight.mean()))
 
     def unit(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(at)
-        at, weight = at[order], (1 + np.log(tf[order])) * self.idf[at[order]]
-        return at, weight / np.sqrt((weight**2).sum())
+        weight = (1 + np.log(tf)) * self.term_weight[at]
+        return at, weight / np.sqrt((weight**2).sum()) if len(at) else weight
 
     def vote(self, who: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic neighbours by cosine, next to the prior's weight."""
-        return float((cosine @ self.toxic[who] + PRIOR * self.rate) / (cosine.sum() + PRIOR))
-
-    def score(self, at: np.ndarray, tf: np.ndarray) -> tuple[float, list[int]]:
-        """Calibrated score, and the nearest examples as evidence."""
-        if not len(at) or not self.index.n:
-            return float(np.interp(self.rate, *self.knots)) if self.index.n else self.rate, []
-        who, cosine = self.index.nearest(*self.unit(at, tf))
-        return float(np.clip(np.interp(self.vote(who, cosine), *self.knots), 0, 1)), who.tolist()
+        return float((cosine @ self.label[who] + PRIOR * self.rate) / (cosine.sum() + PRIOR))
+
+    def scores(self, found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[float], list[list[int]]]:
+        """Calibrated score of each document, and its nearest examples as evidence."""
+        vectors = [self.unit(at, tf) for at, tf in found]
+        out, evidence = [], []
+        for at in range(0, len(vectors), BATCH):
+            some = vectors[at : at + BATCH]
+            for v, start in zip(some, self.index.sums_of_whole(some), strict=True):
+                who, cosine, _ = self.index.nearest(*v, start=start)
+                vote = self.vote(who, cosine) if len(who) else self.rate
+                out.append(float(np.clip(np.interp(vote, *self.knots), 0, 1)) if self.index.n else 0.0)
+                evidence.append(who.tolist())
+        return out, evidence
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(row, doc_id, score, evidence) of every document row; evidence: doc_ids of the nearest examples."""
-    spark = docs.sparkSession
+    """(row, doc_id, score, evidence) of every row of docs; evidence: doc_ids of the nearest examples, nearest first."""
+    spark, docs = docs.sparkSession, steady(docs)
     ship(spark)
     chosen, stands = labelled_ids(labels, key, label, held_out)
-    terms, groups = select_terms(docs, chosen, key, text)
-    found = vectors(docs, terms, key, text)
-    total = found.count()
-    df = np.zeros(len(terms))
-    for r in found.select(F.explode("at").alias("t")).groupBy("t").count().collect():  # a row per term at most
-        df[r["t"]] = r["count"]
-    idf = np.log((1 + total) / (1 + df)) + 1
-    sample = sorted(found.join(F.broadcast(chosen), "doc_id").select("row", "doc_id", "at", "tf", "toxic").collect())
-    rows = [(np.array(r["at"], np.int64), np.array(r["tf"], float)) for r in sample]
-    toxic = np.array([r["toxic"] for r in sample], float)
-    fitted = Classifier(idf, rows, toxic, np.array([stands[int(t)] for t in toxic]), np.array([groups.get(r["row"], -1) for r in sample]))
-    names = [r["doc_id"] for r in sample if r["at"]]
-    sent = spark.sparkContext.broadcast((fitted, names))
+    examples = read_examples(docs, chosen, stands, key, text)
+    fitted = Classifier(examples, *document_frequencies(docs, examples.number, text))
+    sent = spark.sparkContext.broadcast((fitted, examples.ids, examples.number))
+    slim = with_row(docs, doc_id=key, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, ids = sent.value
-        for b in batches:
-            got = [model.score(np.array(a, np.int64), np.array(tf, float)) for a, tf in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s for s, _ in got], pa.float64()), pa.array([[ids[i] for i in e] for _, e in got], pa.list_(b.schema.field(1).type))], names=["row", "doc_id", "score", "evidence"])
+        model, ids, number = sent.value
+        for batch in batches:
+            for b in pieces(batch, 2):
+                at, tf, sizes = counted(b.column(2), number)
+                cuts = np.cumsum(sizes)[:-1]
+                scores, evidence = model.scores(list(zip(np.split(at, cuts), np.split(tf, cuts), strict=True)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([[ids[i] for i in e] for e in evidence], pa.list_(b.schema.field(1).type))], names=["row", "doc_id", "score", "evidence"])
 
-    kind = found.schema["doc_id"].dataType
-    schema = found.select("row", "doc_id").schema.add("score", "double").add("evidence", T.ArrayType(kind))
-    # Vectors take little space but some time, so they are dealt by number and not by size.
-    return found.select("row", "doc_id", "at", "tf").repartition(max(1, -(-total // TASK_ROWS))).mapInArrow(run, schema)
+    schema = slim.select("row", "doc_id").schema.add("score", "double").add("evidence", T.ArrayType(slim.schema["doc_id"].dataType))
+    return slim.mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs (a stored table) without the rows whose score reaches the threshold; the columns stay as they are."""
+    """docs without the rows whose score reaches the threshold; the columns stay as they are."""
+    docs = steady(docs)
     bad = classify(docs, labels, key=key, text=text).where(F.col("score") >= threshold).select("row")
     return without_rows(docs, stored(bad, "toxic"))
 

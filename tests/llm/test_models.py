@@ -176,28 +176,101 @@ def test_toxic_documents_are_found(spark, labelled):
     assert kept.columns == docs.columns and kept.count() == sum(i % 6 != 0 for i in range(900)) + 3
 
 
-def test_neighbours_are_exact():
-    rng = np.random.default_rng(0)
-    terms = 40
+@pytest.mark.parametrize("seed", range(3))
+def test_neighbours_are_exact(seed, monkeypatch):
+    """Against all cosines; few terms, so that some lists are whole, and steps of few blocks."""
+    rng = np.random.default_rng(seed)
+    terms = 400
+    chance = 1 / np.arange(1, terms + 1)
 
     def vector():
-        at = np.sort(rng.choice(terms, rng.integers(1, 8), replace=False))
-        w = rng.integers(1, 4, len(at)).astype(float)
+        at = np.sort(rng.choice(terms, rng.integers(1, 30), replace=False, p=chance / chance.sum()))
+        w = rng.integers(1, 4, len(at)) * (1 + at.astype(float))
         return at, w / np.sqrt((w**2).sum())
 
-    examples = [vector() for _ in range(500)]
+    examples = [vector() for _ in range(700)]
     index = toxicity.BlockMaxIndex(examples, terms)
-    dense = np.zeros((500, terms))
+    assert 0 < len(index.whole) < terms
+    dense = np.zeros((700, terms))
     for i, (a, w) in enumerate(examples):
         dense[i, a] = w
+    read = 0
     for n in range(60):
         at, w = vector()
-        leave = np.arange(100) if n % 2 else None
         cosine = dense[:, at] @ w
-        cosine[:0 if leave is None else 100] = 0
-        want = [i for i in np.lexsort((np.arange(500), -np.round(cosine, 12)))[: toxicity.NEIGHBOURS] if cosine[i] > 0]
-        who, got = index.nearest(at, w, leave=leave)
+        leave = 7 * n if n % 2 else -1
+        if n % 2:
+            cosine[leave] = 0
+        want = [i for i in np.lexsort((np.arange(700), -np.round(cosine, 12)))[: toxicity.NEIGHBOURS] if cosine[i] > 0]
+        who, got, blocks = index.nearest(at, w, leave=leave)
+        read += blocks
         assert np.allclose(got, cosine[want]) and np.allclose(cosine[who], got)
+    assert read < 60 * index.blocks  # some blocks' bounds are too low
+
+
+def slow_scores(texts, labelled, neighbours=15):
+    """Scores by plain loops: weights, cosines with all examples, votes without oneself, isotonic calibration."""
+    def terms(t):
+        return Counter(x for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split() for x in toxicity.terms_of(w))
+
+    bags = {i: terms(t) for i, t in texts.items()}
+    order = sorted(labelled, key=lambda i: (-labelled[i], i))
+    n, toxic = len(order), sum(labelled.values())
+    weight = {}
+    for t in {t for i in order for t in bags[i]}:
+        a = sum(labelled[i] for i in order if t in bags[i])
+        b = sum(1 - labelled[i] for i in order if t in bags[i])
+        spread = toxic * (n - toxic) * (a + b) * (n - a - b)
+        chi2 = n * max(0, abs(a * (n - toxic - b) - b * (toxic - a)) - n / 2) ** 2 / spread if spread else 0
+        idf = math.log((2 + len(texts)) / (1 + sum(t in x for x in bags.values())))
+        weight[t] = idf * (0.01 + 0.99 * chi2 / (chi2 + 20))
+
+    def unit(i):
+        v = {t: (1 + math.log(k)) * weight[t] for t, k in bags[i].items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    units = {i: unit(i) for i in texts}
+    rate = toxic / n
+
+    def vote(i, leave):
+        near = sorted((-round(sum(x * units[j].get(t, 0) for t, x in units[i].items()), 12), place, j) for place, j in enumerate(order) if j != leave)[:neighbours]
+        near = [(-c, j) for c, _, j in near if c < 0]
+        return (sum(c * labelled[j] for c, j in near) + 0.5 * rate) / (sum(c for c, _ in near) + 0.5) if units[i] else rate
+
+    points = sorted([(vote(i, i), labelled[i], 1.0) for i in order] + [(rate, rate, 1.0)])
+    pools = []
+    for x, y, w in points:
+        pools.append([x, x, y * w, w])
+        while len(pools) > 1 and (pools[-2][1] == pools[-1][0] or pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]):
+            z = pools.pop()
+            pools[-1] = [pools[-1][0], z[1], pools[-1][2] + z[2], pools[-1][3] + z[3]]
+    xs, ys = [p[k] for p in pools for k in (0, 1)], [p[2] / p[3] for p in pools for _ in (0, 1)]
+    return {i: float(np.interp(vote(i, None), xs, ys)) for i in texts}
+
+
+def test_votes_and_calibration_equal_slow_loops(spark):
+    """classify() against plain loops, on texts whose copies none of the sketch's keys join."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("bcdfg") + rng.choice("aeiou") + rng.choice("lmnrs") + rng.choice("aeiou") + rng.choice(["", "t", "ks", "ster"])
+    texts = {i: " ".join([word() for _ in range(rng.choice([8, 30]))] + [rng.choice(BAD) for _ in range(2 * (i % 3 == 0))]) for i in range(120)} | {500: None, 501: "12 !"}
+    labels = {i: int(i % 3 == 0) for i in range(120) if i % 5 and zlib.crc32(str(i).encode()) % 3 != 1}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    given = spark.createDataFrame([(i, y) for i, y in labels.items()] + [(i, 1) for i in range(120) if i % 5 and i not in labels], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, given).collect()}
+    want = slow_scores(texts, labels)
+    assert got == pytest.approx(want, abs=1e-9) and len(set(np.round(list(want.values()), 6))) > 3
+
+
+def test_words_are_runs_of_letters():
+    import pyarrow as pa
+
+    texts = ["Ab, c3d É-日本 x_y", None, "", "  ", "Z", "İstanbul ß"]
+    codes, words, sizes = toxicity.words_in(pa.array(texts))
+    assert sizes.tolist()[:5] == [7, 0, 0, 0, 1] and [words[i] for i in codes[:8]] == ["ab", "c", "d", "é", "日本", "x", "y", "z"]
+    broken = pa.array([b"ab\xff c", b"d"]).view(pa.string())
+    codes, words, sizes = toxicity.words_in(broken)
+    assert [words[i] for i in codes] == ["ab", "c", "d"] and sizes.tolist() == [2, 1]
 
 
 def test_isotonic_is_monotone_and_keeps_means():
