@@ -39,27 +39,55 @@ def test_languages_of_held_out_texts(spark, speech):
     assert rest[1000] == rest[1001] == ("und", 0.0) and rest[1002][0] == "en" and rest[None][0] == "de"
 
 
-def test_folded_weights_equal_the_kernel_machine(spark, speech):
-    """Landmark kernel values times regression weights, one by one, against the batched product."""
+def slow_spectrum(text):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    line = " " + " ".join(words) + " "
+    return {line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1)} if words else set()
+
+
+def slow_kernel(x, y):
+    return len(x & y) / math.sqrt(max(1, len(x)) * max(1, len(y)))
+
+
+def test_kernel_counts_shared_grams_of_any_script():
+    texts = ["the of, and", "Привет мир", "你好 世界 the", "γειά σου κόσμε", "être à"]
+    spectra = [langid.spectrum(t.encode()) for t in texts]
+    assert [len(g) for g in spectra] == [len(slow_spectrum(t)) for t in texts]
+    want = [[slow_kernel(slow_spectrum(a), slow_spectrum(b)) for b in texts] for a in texts]
+    assert langid.kernel(spectra, spectra) == pytest.approx(np.array(want))
+    assert not len(langid.spectrum(b"12 !?")) and not len(langid.spectrum(b""))
+
+
+def test_model_equals_a_slow_kernel_machine(spark, speech, monkeypatch):
+    """Nystroem features and ridge regression from slow kernel values, against the folded batched product."""
+    monkeypatch.setattr(langid, "LANDMARKS", 5)
+    monkeypatch.setattr(langid, "CHUNK", 100)
     model = langid.fit(speech)
-    table = langid.classes(model["alphabet"])
-    texts = [b"the of and to in", "être et à il avoir".encode(), "für über".encode()]
-    names, scores = langid.score_texts(texts, model, table)
-    for t, name, s in zip(texts, names, scores, strict=True):
-        grams, _ = langid.spectrum(t, table)
-        x = np.zeros(len(model["weights"]) + 1)
-        x[model["columns"][np.concatenate(grams)]] = 1
-        raw = (x[:-1] / math.sqrt(x[:-1].sum())) @ model["weights"]
-        assert model["languages"][int(raw.argmax())] == name and 0 < s <= 1
-
-
-def test_spectrum_holds_all_grams():
-    table = langid.classes([ord(c) for c in "abc"])
-    grams, letter = langid.spectrum("Ab,  c!".encode(), table)
-    padded = [0, 1, 2, 0, 3, 0]
-    assert letter and grams[0].tolist() == padded[:]
-    assert grams[1].tolist()[:5] == [64 + (a << 6 | b) for a, b in zip(padded, padded[1:], strict=False)]
-    assert len(grams[2]) == 4 and langid.spectrum(b"12 !", table)[1] is False
+    sample = langid._sample(speech, "doc_id", "text", "lang", (4, 2)).collect()
+    marks = []
+    for lang in sorted({r["lang"] for r in sample}):
+        marks += [r["text"] for r in sorted((r for r in sample if r["lang"] == lang), key=lambda r: r["u"])[:5] if slow_spectrum(r["text"])]
+    rows = [r for r in sample if slow_spectrum(r["text"])]
+    k = lambda a, b: np.array([[slow_kernel(slow_spectrum(x), slow_spectrum(y)) for y in b] for x in a])
+    values, vectors = np.linalg.eigh(k(marks, marks))
+    inverse_root = vectors @ np.diag(np.where(values > 1e-8 * values.max(), np.maximum(values, 1e-12) ** -0.5, 0)) @ vectors.T
+    feature = k([r["text"] for r in rows], marks) @ inverse_root
+    y = np.array([[1.0 if r["lang"] == x else -1.0 for x in model["languages"]] for r in rows])
+    ridge = np.linalg.solve(feature.T @ feature + langid.RIDGE * len(rows) * np.eye(len(marks)), feature.T @ y)
+    texts = [*marks, "the of and to in", "être et à il avoir", "für über", "xyz"]
+    want = np.clip((k(texts, marks) @ inverse_root @ ridge + 1) / 2, 1e-6, 1)
+    want /= want.sum(1, keepdims=True)
+    names, scores = langid.score_texts([t.encode() for t in texts], model)
+    assert names == [model["languages"][i] for i in want.argmax(1)] and scores == pytest.approx(want.max(1), abs=1e-4)
+
+
+def test_scripts_without_a_common_letter(spark):
+    rng = random.Random(4)
+    letters = {"ru": "абвгдежзиклмнопрст", "el": "αβγδεζηθικλμνξοπρ", "zh": "的一是不了人我在有他这中大来上", "ko": "가나다라마바사아자차카타파하", "en": "abcdefghijklmnopqr"}
+    rows = [(i, " ".join("".join(rng.choices(letters[g], k=rng.randrange(1, 6))) for _ in range(20)), g) for i, g in enumerate(rng.choices(list(letters), k=300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert got == {i: g for i, _, g in rows}
 
 
 def test_languages_of_odd_documents(spark, docs_of):
