@@ -1,16 +1,19 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-Units. The model predicts units: the end of a text, the most frequent training words, and word shapes (words that share
-the hash of their last letters). A word of a shape unit has its smoothed share of the shape's training count, so that
-probabilities add up to one over all known words and one unknown word per shape.
+Classes and units. A word's class is a hash of its last letters; the end of a text is a class of its own. The most frequent
+training words are units of their own, WORDS_BY_TYPES times the square root of the number of distinct training words, so the
+model grows with the corpus; a class's other words are one unit, its rest, inside which a word has its smoothed share of
+the training count. So a word's probability is that of its class given the words before, times that of its unit given
+the class and the words before, times its share; these add up to one over all known words and one unknown word per class.
 
-Model. A position's vector is the sum over the preceding CONTEXT units of c_j * r_unit (elementwise); a unit's score is
-its product with q_unit plus a bias. Training contrasts every position with noise from the unigram of units,
-in numpy; scoring multiplies batches of positions by all units and normalises exactly.
+Model. A position's vector is the sum over the preceding CONTEXT units of c_j * r_unit (elementwise); the score of a class
+or of a unit inside its class is its product with a vector q plus a bias. Training contrasts every position with noise
+classes, and with noise units of the position's class, both from unigrams, in numpy; scoring multiplies batches of
+positions by all classes, and a class's positions by all its units, and normalises both exactly.
 
 Scale. Words are counted over all training documents and meet once in a shuffle of per-task sums. Training is data
-parallel: in each round every task trains on its own share of the documents from the shared parameters, and the results
-are averaged in a tree of bounded width. Counts of the FREQUENT words go to the workers (bounded); the rarer words of
+parallel: in each round every task trains on its own share of the documents from the shared parameters, and what the
+tasks changed is averaged by TREE at a time until the driver has that many. Counts of the FREQUENT words go to the workers (bounded); the rarer words of
 all documents, a fixed share of the input, are looked up by a join that is shuffled by word.
 
 Defined cases: a null text is empty (its only token is the end); a null doc_id counts as the empty text for the split;
@@ -22,7 +25,6 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -31,16 +33,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_BYTES, pieces, ship, split_words, stored, text_remainder
+from .common import ARROW_BYTES, pieces, ship, split_words, steady, stored, text_remainder, with_row
 
-#: Words whose counts every worker holds; words that are units of their own; shapes.
-FREQUENT, WORD_UNITS, SHAPES = 131_072, 383, 128
+#: Words whose counts every worker holds; units by the square root of the distinct words; classes but for the end's.
+FREQUENT, WORDS_BY_TYPES, SHAPES = 131_072, 8, 128
 CONTEXT, WIDTH = 3, 32
-#: Rounds (each on its own part of the documents), noise units, positions of a batch, first rate.
-ROUNDS, NOISE, BATCH, RATE = 2, 32, 2048, 0.15
+#: Rounds (each on its own part of the documents), noise classes, noise units of a class, positions of a batch, rate.
+ROUNDS, NOISE, INSIDE, BATCH, RATE = 2, 32, 8, 4096, 0.15
+#: Positions that are scored at once.
+SCORED = 8192
 #: Steps that a worker takes on a piece of text, however short it is.
 LEAST_STEPS = 24
-#: Results of tasks that are averaged together before the driver sees them.
+#: Results of tasks that are averaged together.
 TREE = 16
 LOG10 = float(np.log(10))
 END = 0
@@ -92,54 +96,65 @@ class Vocabulary:
         self.tokens = sum(r["c"] for r in by_step) + documents
         self.types = sum(r["n"] for r in by_step) + (documents > 0)
         self.end_count = documents
-        units = frequent[:WORD_UNITS]
+        own = frequent[: int(np.ceil(WORDS_BY_TYPES * np.sqrt(max(0, self.types - 1))))]
         totals = {r["shape"]: (r["c"], r["n"]) for r in words.groupBy("shape").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()}
-        shape_count, shape_types = (np.array([totals.get(s, (0, 0))[i] for s in range(SHAPES)], float) for i in (0, 1))
-        for r in units:
-            shape_count[r["shape"]] -= r["c"]
-            shape_types[r["shape"]] -= 1
-        first = 1 + len(units)
+        rest_count, rest_types = (np.array([totals.get(s, (0, 0))[i] for s in range(SHAPES)], float) for i in (0, 1))
+        members: list[list[int]] = [[] for _ in range(SHAPES)]
+        for i, r in enumerate(own):
+            members[r["shape"]].append(i)
+            rest_count[r["shape"]] -= r["c"]
+            rest_types[r["shape"]] -= 1
+        #: First unit of each class, and the number of units; a class's last unit is its rest. Unit and class 0: the end.
+        self.units = np.concatenate([[0], 1 + np.cumsum([0, *[len(m) + 1 for m in members]])])
+        self.rest = self.units[2:] - 1
         #: word -> place; unit, count and log10(share in its unit) by place.
         self.places = {bytes(r["word"]): i for i, r in enumerate(frequent)}
         self.counts = np.array([r["c"] for r in frequent], float)
-        self.unit = np.array([1 + i if i < len(units) else first + r["shape"] for i, r in enumerate(frequent)], np.int32)
-        self.first_shape, self.units = first, first + SHAPES
-        self.shape_total = np.log10(shape_count + 0.5 * (shape_types + 1))
-        self.inside = np.where(self.unit < first, 0.0, np.log10(self.counts + 0.5) - self.shape_total[np.maximum(0, self.unit - first)]) if frequent else np.zeros(0)
-        self.unit_counts = np.concatenate([[documents], [r["c"] for r in units], shape_count])
+        self.shape_total = np.log10(rest_count + 0.5 * (rest_types + 1))
+        shapes = np.array([r["shape"] for r in frequent], np.int64)
+        self.unit = self.rest[shapes].astype(np.int32) if frequent else np.zeros(0, np.int32)
+        self.inside = np.log10(self.counts + 0.5) - self.shape_total[shapes] if frequent else np.zeros(0)
+        self.unit_counts = np.zeros(self.units[-1])
+        self.unit_counts[0], self.unit_counts[self.rest] = documents, rest_count
+        for first, m in zip(self.units[1:].tolist(), members, strict=False):
+            self.unit[m], self.inside[m] = np.arange(first, first + len(m)), 0.0
+            self.unit_counts[first : first + len(m)] = self.counts[m]
 
     def units_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Unit and place (-1: not among the frequent) of each word."""
-        get, first = self.places.get, self.first_shape
+        get = self.places.get
         place = np.array([get(w, -1) for w in words], np.int64)
-        if not len(self.unit):
-            return np.array([first + shape(w) for w in words], np.int32), place
-        unit = self.unit[place]
+        unit = self.unit[place] if len(self.unit) else np.zeros(len(words), np.int32)
         rare = np.flatnonzero(place < 0)
-        unit[rare] = [first + shape(words[i]) for i in rare.tolist()]
+        unit[rare] = self.rest[[shape(words[i]) for i in rare.tolist()]] if len(rare) else 0
         return unit, place
 
 
-class Model:
-    """Parameters as one vector; r: context units, q: predicted units, c: places of the context, b: biases."""
+def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, starts and ends of the runs of equal keys."""
+    starts = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+    return sorted_keys[starts], starts, np.append(starts[1:], len(sorted_keys))[: len(starts)]
+
 
-    def __init__(self, units: int, flat: np.ndarray) -> None:
-        sizes = np.cumsum([0, units * WIDTH, units * WIDTH, CONTEXT * WIDTH, units])
-        self.flat = flat
-        self.r, self.q, self.c, self.b = (flat[a:z] for a, z in zip(sizes, sizes[1:], strict=False))
-        self.r, self.q, self.c = self.r.reshape(units, WIDTH), self.q.reshape(units, WIDTH), self.c.reshape(CONTEXT, WIDTH)
+class Model:
+    """Parameters as one vector; r: context units, q: predicted units, p: predicted classes, c: places of the context,
+    b and a: biases of units and classes. units: first unit of each class, and the number of units."""
 
-    @cached_property
-    def output(self) -> np.ndarray:
-        """Predicted units with their biases, for one product; made once training is over."""
-        return np.concatenate([self.q, self.b[:, None]], 1).T.copy()
+    def __init__(self, units: np.ndarray, flat: np.ndarray) -> None:
+        n, classes = int(units[-1]), len(units) - 1
+        sizes = np.cumsum([0, n * WIDTH, n * WIDTH, classes * WIDTH, CONTEXT * WIDTH, n, classes])
+        self.first, self.flat = units, flat
+        self.r, self.q, self.p, self.c, self.b, self.a = (flat[i:j] for i, j in zip(sizes, sizes[1:], strict=False))
+        self.r, self.q, self.p, self.c = (x.reshape(-1, WIDTH) for x in (self.r, self.q, self.p, self.c))
+        self.class_of = np.repeat(np.arange(classes), np.diff(units))
 
     @classmethod
-    def start(cls, unit_counts: np.ndarray) -> Model:
-        units, rng = len(unit_counts), np.random.default_rng(0)
-        m = cls(units, rng.normal(0, 0.1, units * (2 * WIDTH + 1) + CONTEXT * WIDTH).astype(np.float32))
+    def start(cls, unit_counts: np.ndarray, units: np.ndarray) -> Model:
+        n, classes, rng = int(units[-1]), len(units) - 1, np.random.default_rng(0)
+        m = cls(units, rng.normal(0, 0.1, n * (2 * WIDTH + 1) + classes * (WIDTH + 1) + CONTEXT * WIDTH).astype(np.float32))
         m.c[:] = 1.0
-        m.b[:] = np.log(noise_of(unit_counts))
+        by_class, inside = noise_of(unit_counts, units)
+        m.a[:], m.b[:] = np.log(by_class), np.log(inside)
         return m
 
     def vectors(self, context: np.ndarray) -> np.ndarray:
@@ -149,20 +164,32 @@ class Model:
         return h
 
     def log10_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised over all units."""
-        h = self.vectors(context)
-        s = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1) @ self.output
-        own = s[np.arange(len(target)), target]
-        bound = np.sqrt((h * h).sum(1).max(initial=0) * (self.q * self.q).sum(1).max()) + np.abs(self.b).max()
-        top = s.max(1) if bound > 60 else np.zeros(1, np.float32)  # else no exponential overflows
-        if bound > 60:
-            s -= top[:, None]
-        np.exp(s, out=s)
-        return (own - top - np.log(s @ np.ones(s.shape[1], np.float32))).astype(float) / LOG10
-
-
-def noise_of(unit_counts: np.ndarray) -> np.ndarray:
-    return (unit_counts + 0.5) / (unit_counts + 0.5).sum()
+        """Of each target unit: of its class over all classes, times of the unit over all units of the class."""
+        group = self.class_of[target]
+        order = np.argsort(group, kind="stable")
+        h, target, group = self.vectors(context[order]), target[order], group[order]
+        out = _own_log(h @ self.p.T + self.a, group).astype(float)
+        for k, i, j in zip(*runs(group), strict=True):
+            first, last = self.first[k], self.first[k + 1]
+            if last - first > 1:
+                out[i:j] += _own_log(h[i:j] @ self.q[first:last].T + self.b[first:last], target[i:j] - first)
+        result = np.empty(len(out))
+        result[order] = out / LOG10
+        return result
+
+
+def _own_log(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's softmax at its own column; scores are overwritten."""
+    scores -= scores.max(1, keepdims=True)
+    mine = scores[np.arange(len(own)), own]
+    return mine - np.log(np.exp(scores, out=scores).sum(1))
+
+
+def noise_of(unit_counts: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unigram of the classes, and of each unit inside its class."""
+    weight = unit_counts + 0.5
+    sums = np.add.reduceat(weight, units[:-1])
+    return sums / sums.sum(), weight / np.repeat(sums, np.diff(units))
 
 
 def contexts(units: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -178,40 +205,88 @@ def contexts(units: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sigma(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+
+
 class Trainer:
-    """Noise-contrastive estimation with shared noise per batch and per-parameter (Adagrad) rates."""
+    """Noise-contrastive estimation with noise shared by a batch, or by a class's positions in it, and per-parameter
+    (Adagrad) rates; only rows that a batch touches are updated."""
 
     def __init__(self, model: Model, unit_counts: np.ndarray, seed: int) -> None:
-        self.m, self.rng, noise = model, np.random.default_rng(seed), noise_of(unit_counts)
-        self.log_noise, self.cdf = np.log(noise * NOISE).astype(np.float32), np.cumsum(noise)
-        self.sums = Model(len(noise), np.full_like(model.flat, 0.1))
+        self.m, self.rng = model, np.random.default_rng(seed)
+        by_class, inside = noise_of(unit_counts, model.first)
+        self.log_class, self.class_cdf = np.log(by_class * NOISE).astype(np.float32), np.cumsum(by_class)
+        self.log_inside = np.log(inside * INSIDE).astype(np.float32)
+        self.cdf = np.cumsum(by_class[model.class_of] * inside)
+        self.sums = Model(model.first, np.full_like(model.flat, 0.1))
         self.samples = 0
 
-    def _spread(self, index: np.ndarray, grad: np.ndarray) -> np.ndarray:
-        flat = (index.astype(np.int64)[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-        return np.bincount(flat, grad.ravel(), len(self.log_noise) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+    def _update(self, name: str, grad: np.ndarray, n: int, rows: np.ndarray | slice = slice(None)) -> None:
+        past, p = getattr(self.sums, name), getattr(self.m, name)
+        grad = grad / np.float32(np.sqrt(n))
+        past[rows] += grad * grad
+        p[rows] -= RATE * grad / np.sqrt(past[rows])
+
+    @staticmethod
+    def _by_row(index: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct rows, and the sums of each gradient for them."""
+        order = np.argsort(index, kind="stable")
+        rows, starts, _ = runs(index[order])
+        return rows, *[np.add.reduceat(g[order], starts, axis=0) for g in grads]
+
+    def noise_units(self, classes: np.ndarray) -> np.ndarray:
+        """INSIDE units of each class, by their unigram in it."""
+        first, last = self.m.first[classes], self.m.first[classes + 1]
+        low = np.where(first > 0, self.cdf[first - 1], 0.0)
+        drawn = low[:, None] + self.rng.random((len(classes), INSIDE)) * (self.cdf[last - 1] - low)[:, None]
+        return np.clip(np.searchsorted(self.cdf, drawn), first[:, None], last[:, None] - 1)
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         m, n = self.m, len(target)
+        group = m.class_of[target]
+        order = np.argsort(group, kind="stable")
+        context, target, group = context[order], target[order], group[order]
         rows = [m.r[context[:, j]] for j in range(CONTEXT)]
         h = sum(x * c for x, c in zip(rows, m.c, strict=True))
-        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE)), len(self.cdf) - 1)
-        own, others = m.q[target], m.q[noise]
-        # d loss / d score: sigma(score - log(k * noise)) - 1 for the target, sigma(...) for noise.
-        e = 1 / (1 + np.exp(np.clip(self.log_noise[target] - m.b[target] - np.einsum("ij,ij->i", h, own), -30, 30))) - 1
-        f = 1 / (1 + np.exp(np.clip(self.log_noise[noise] - m.b[noise] - h @ others.T, -30, 30)))
+        # d loss / d score: sigma(score - log(k * noise)) - 1 for what is there, sigma(...) for noise.
+        noise = np.minimum(np.searchsorted(self.class_cdf, self.rng.random(NOISE)), len(self.class_cdf) - 1)
+        own, others = m.p[group], m.p[noise]
+        e = _sigma(m.a[group] + np.einsum("ij,ij->i", h, own) - self.log_class[group]) - 1
+        f = _sigma(m.a[noise] + h @ others.T - self.log_class[noise])
         dh = e[:, None] * own + f @ others
-        dq = self._spread(target, e[:, None] * h)
-        np.add.at(dq, noise, f.T @ h)
-        db = (np.bincount(target, e, len(m.b)) + np.bincount(noise, f.sum(0), len(m.b))).astype(np.float32)
+        dp, da = np.zeros_like(m.p), np.zeros_like(m.a)
+        names, starts, ends = runs(group)
+        dp[names], da[names] = np.add.reduceat(e[:, None] * h, starts, axis=0), np.add.reduceat(e, starts)
+        np.add.at(dp, noise, f.T @ h)
+        np.add.at(da, noise, f.sum(0))
+        inner = np.flatnonzero(m.first[names + 1] - m.first[names] > 1)
+        if len(inner):
+            names, starts, ends = names[inner], starts[inner], ends[inner]
+            drawn = self.noise_units(names)
+            near, vectors = m.q[target], m.q[drawn]
+            has = np.zeros(n, bool)
+            for i, j in zip(starts, ends, strict=True):
+                has[i:j] = True
+            g = np.where(has, _sigma(m.b[target] + np.einsum("ij,ij->i", h, near) - self.log_inside[target]) - 1, 0).astype(np.float32)
+            s = np.zeros((n, INSIDE), np.float32)
+            for v, d, i, j in zip(vectors, drawn, starts, ends, strict=True):
+                s[i:j] = h[i:j] @ v.T + (m.b[d] - self.log_inside[d])
+            s = np.where(has[:, None], _sigma(s), 0).astype(np.float32)
+            dn = np.empty_like(vectors)
+            dh += g[:, None] * near
+            for k, (v, i, j) in enumerate(zip(vectors, starts, ends, strict=True)):
+                dh[i:j] += s[i:j] @ v
+                dn[k] = s[i:j].T @ h[i:j]
+            db = np.add.reduceat(s, starts, axis=0) if has.all() else np.stack([s[i:j].sum(0) for i, j in zip(starts, ends, strict=True)])
+            touched, dq, db = self._by_row(np.concatenate([target[has], drawn.ravel()]), np.concatenate([(g[:, None] * h)[has], dn.reshape(-1, WIDTH)]), np.concatenate([g[has], db.ravel()]))
+            self._update("q", dq, n, touched)
+            self._update("b", db, n, touched)
         dc = np.stack([np.einsum("ij,ij->j", dh, x) for x in rows])
-        dr = self._spread(context.T.ravel(), np.concatenate([dh * c for c in m.c]))
-        for name, g in (("r", dr), ("q", dq), ("c", dc), ("b", db)):
-            g /= np.sqrt(n)
-            past = getattr(self.sums, name)
-            past += g * g
-            p = getattr(m, name)
-            p -= RATE * g / np.sqrt(past)
+        touched, dr = self._by_row(context.T.ravel(), np.concatenate([dh * c for c in m.c]))
+        self._update("r", dr, n, touched)
+        for name, grad in (("p", dp), ("a", da), ("c", dc)):
+            self._update(name, grad, n)
         self.samples += n
 
 
@@ -236,18 +311,34 @@ def _as_units(batches: Iterator[pa.RecordBatch], text: int, vocabulary: Vocabula
             yield Piece(b, words, codes, sizes, np.insert(unit[codes], upto, END), upto - sizes + np.arange(len(sizes)), place[codes])
 
 
+def merged(parts: DataFrame, tasks: int) -> DataFrame:
+    """Results (part, samples, change) averaged by TREE at a time, weighted by samples, until there are TREE at most."""
+
+    def average(group: pa.Table) -> pa.Table:
+        total, change = 0, 0.0
+        for n, x in zip(group.column("samples").to_pylist(), group.column("change").to_pylist(), strict=True):
+            total, change = total + n, change + n * np.frombuffer(x, np.float16).astype(np.float32)
+        return pa.table({"part": group.column("part")[:1], "samples": [total], "change": [(change / total).astype(np.float16).tobytes()]})
+
+    while tasks > TREE:
+        tasks = -(-tasks // TREE)
+        parts = parts.withColumn("part", F.floor(F.col("part") / TREE)).groupBy("part").applyInArrow(average, "part long, samples long, change binary")
+    return parts
+
+
 def train(training: DataFrame, key: str, text: str, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
     """Rounds of data-parallel training; every training document takes part in one of them, with all its positions."""
     sc = training.sparkSession.sparkContext
-    model = Model.start(vocabulary.unit_counts)
+    model = Model.start(vocabulary.unit_counts, vocabulary.units)
     words = sc.broadcast(vocabulary)
     slim = training.select(F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("round")), F.lit(rounds)).alias("round"))
+    tasks = slim.rdd.getNumPartitions()
     for turn in range(rounds):
-        start = model.flat.copy()
+        start = sc.broadcast(model.flat.copy())
 
-        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start, turn: int = turn) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], start: object = start, turn: int = turn) -> Iterator[pa.RecordBatch]:
             v, task = words.value, TaskContext.get().partitionId()
-            t = Trainer(Model(v.units, start.copy()), v.unit_counts, 1000 * turn + task)
+            t = Trainer(Model(v.units, start.value.copy()), v.unit_counts, 1000 * turn + task)
             for p in _as_units(batches, 0, v):
                 units, before = p.units, contexts(p.units, p.starts)
                 spots = np.arange(len(units))
@@ -257,26 +348,21 @@ def train(training: DataFrame, key: str, text: str, vocabulary: Vocabulary, roun
                     some = spots[at : at + size]
                     t.step(before[some], units[some])
             if t.samples:
-                yield pa.RecordBatch.from_arrays([pa.array([task % TREE]), pa.array([t.samples]), pa.array([t.m.flat.tobytes()], pa.binary())], names=["part", "samples", "flat"])
-
-        def average(group: pa.Table) -> pa.Table:
-            total, flat = 0, 0.0
-            for n, x in zip(group.column("samples").to_pylist(), group.column("flat").to_pylist(), strict=True):
-                total, flat = total + n, flat + n * np.frombuffer(x, np.float32).astype(float)
-            return pa.table({"part": group.column("part")[:1], "samples": [total], "flat": [(flat / total).astype(np.float32).tobytes()]})
+                change = (t.m.flat - start.value).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([t.samples]), pa.array([change.tobytes()], pa.binary())], names=["part", "samples", "change"])
 
-        trained = slim.where(F.col("round") == turn).select("text").mapInArrow(run, "part long, samples long, flat binary")
-        parts = trained.groupBy("part").applyInArrow(average, "part long, samples long, flat binary").collect()
+        trained = slim.where(F.col("round") == turn).select("text").mapInArrow(run, "part long, samples long, change binary")
+        parts = merged(trained, tasks).collect()
         if parts:
             shares = np.array([r["samples"] for r in parts], float)
-            mean = sum(w * np.frombuffer(bytes(r["flat"]), np.float32) for w, r in zip(shares / shares.sum(), parts, strict=True))
-            model = Model(vocabulary.units, mean.astype(np.float32))
+            mean = sum(w * np.frombuffer(bytes(r["change"]), np.float16).astype(float) for w, r in zip(shares / shares.sum(), parts, strict=True))
+            model = Model(vocabulary.units, (model.flat + mean).astype(np.float32))
     return model
 
 
 def score(docs: DataFrame, held_out: tuple[int, int] = (5, 1), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document row."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, steady(docs)
     ship(spark)
     held = text_remainder(key, held_out[0]) == held_out[1]
     training = docs.where(~held)
@@ -284,29 +370,29 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (5, 1), key: str = "doc_i
     vocabulary = Vocabulary(words, training.count())
     model = train(training, key, text, vocabulary)
     sent = spark.sparkContext.broadcast((vocabulary, model.flat))
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    slim = with_row(docs, doc_id=key, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, flat = sent.value
         m = Model(v.units, flat)
         for b, words, codes, sizes, units, starts, place in _as_units(batches, 2, v):
             before, log10 = contexts(units, starts), np.empty(len(units))
-            for at in range(0, len(units), BATCH):
-                log10[at : at + BATCH] = m.log10_probability(before[at : at + BATCH], units[at : at + BATCH])
+            for at in range(0, len(units), SCORED):
+                log10[at : at + SCORED] = m.log10_probability(before[at : at + SCORED], units[at : at + SCORED])
             texts = len(sizes)
             doc = np.repeat(np.arange(texts), sizes)
             known = place >= 0
             inside = np.zeros(len(place))
             if known.any():
                 inside[known] = v.inside[place[known]]
-            inside[~known] = -v.shape_total[np.delete(units, starts + sizes)[~known] - v.first_shape]
+            inside[~known] = -v.shape_total[m.class_of[np.delete(units, starts + sizes)[~known]] - 1]
             counted = np.bincount(doc[known], np.log10(v.counts[place[known]] + 0.5), texts) if known.any() else np.zeros(texts)
             model_part = np.add.reduceat(log10, starts) + np.bincount(doc, inside, texts)
             n_known = np.bincount(doc[known], minlength=texts) + (v.end_count > 0)
             rows = b.column(0).to_pylist()
             none, n = pa.nulls, b.num_rows
             # A document's own row carries a key that no word equals, as words hold no space.
-            marks = pa.array([b" %d" % r for r in rows], pa.binary())
+            marks = pa.array([b" %d %d" % (r["file"], r["at"]) for r in rows], pa.binary())
             columns = [marks, b.column(0), none(n, pa.int64()), pa.array(np.ones(n, bool)), b.column(1), pa.array(sizes + 1), pa.array(n_known.astype(np.int64)), pa.array(counted + np.log10(v.end_count + 0.5)), pa.array(model_part)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             rare, n = np.unique(doc[~known] * len(words) + codes[~known], return_counts=True)
@@ -316,7 +402,7 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (5, 1), key: str = "doc_i
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["word", "row", "n", "whole", "doc_id", "n_tokens", "n_known", "counted", "model_part"]
-    schema = docs.select(F.lit(b"").alias("word"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("whole"), F.col(key).alias("doc_id")).schema
+    schema = docs.select(F.lit(b"").alias("word"), F.struct(F.lit(0).cast("long").alias("file"), F.lit(0).cast("long").alias("at")).alias("row"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("whole"), F.col(key).alias("doc_id")).schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("counted", "double"), ("model_part", "double")):
         schema = schema.add(name, kind)
     for f in schema.fields:

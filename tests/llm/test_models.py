@@ -131,32 +131,86 @@ def test_model_beats_the_base_where_context_tells(spark, speech):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows) + 4 * len(rows)
 
 
-def test_probabilities_add_up_to_one(spark, speech):
-    """Over all units, and over the words of a shape with one unknown word."""
+def test_probabilities_add_up_to_one(spark, speech, monkeypatch):
+    """Over all units, and over the words of a class's rest with one unknown word."""
+    monkeypatch.setattr(lm, "WORDS_BY_TYPES", 3)
     words = lm.count_words(speech.where("doc_id % 2 = 0"), "text")
     v = lm.Vocabulary(words, 200)
     model = lm.train(speech.where("doc_id % 2 = 0"), "doc_id", "text", v, rounds=1)
-    rng = np.random.default_rng(0)
-    for context in rng.integers(0, v.units, (5, lm.CONTEXT)):
-        p = model.log10_probability(np.repeat(context[None], v.units, 0), np.arange(v.units))
+    rng, n = np.random.default_rng(0), int(v.units[-1])
+    assert 1 + lm.SHAPES < n < 1 + lm.SHAPES + len(v.unit)
+    for context in rng.integers(0, n, (5, lm.CONTEXT)):
+        p = model.log10_probability(np.repeat(context[None], n, 0), np.arange(n))
         assert (10**p).sum() == pytest.approx(1, abs=1e-4)
     for s in range(lm.SHAPES):
-        own = [i for i, u in enumerate(v.unit) if u == v.first_shape + s]
+        own = [i for i, u in enumerate(v.unit) if u == v.rest[s]]
         assert sum(10 ** v.inside[i] for i in own) + 0.5 / 10 ** v.shape_total[s] == pytest.approx(1)
 
 
+def test_scores_equal_a_slow_model(spark, docs_of, monkeypatch):
+    """Token by token: class, unit in the class, share in the rest, each from the parameters by plain loops."""
+    monkeypatch.setattr(lm, "WORDS_BY_TYPES", 2)
+    monkeypatch.setattr(lm, "FREQUENT", 40)
+    kept = {}
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: kept.setdefault("model", kept.setdefault("v", a[3]) and train(*a)))
+    rng = random.Random(2)
+    rows = [*[r for r in ODD if r[0] not in (104, 105)], *[(i, " ".join(rng.choices([*SPEECH["en"], *SPEECH["fr"]], k=rng.randrange(30)))) for i in range(80)], (900, "unseen words the of")]
+    got = sorted((repr(r["doc_id"]), r["n_tokens"], r["score"]) for r in scored(docs_of(rows)))
+    model, v = kept["model"], kept["v"]
+    held = [zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1 for d, _ in rows]
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    counts = Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws)
+    modelled = {w: int(v.unit[i]) for w, i in v.places.items() if v.unit[i] not in v.rest}
+    assert 5 < len(modelled) < len(counts) and len(v.places) < len(counts)
+    want = []
+    for (d, _), ws in zip(rows, words, strict=True):
+        before, total = [0, 0, 0], 0.0
+        for w in [*ws, None]:
+            h = [sum(float(model.r[u][k] * model.c[j][k]) for j, u in enumerate(before)) for k in range(lm.WIDTH)]
+            group = 0 if w is None else 1 + lm.shape(w)
+            unit = 0 if w is None else modelled.get(w, int(v.rest[group - 1]))
+            dot = lambda q, h=h: sum(x * float(y) for x, y in zip(h, q, strict=True))
+            classes = [math.exp(dot(model.p[i]) + float(model.a[i])) for i in range(1 + lm.SHAPES)]
+            inside = {i: math.exp(dot(model.q[i]) + float(model.b[i])) for i in range(int(v.units[group]), int(v.units[group + 1]))}
+            p = classes[group] / sum(classes) * inside[unit] / sum(inside.values())
+            if w is not None and w not in modelled:
+                rest = {x: c for x, c in counts.items() if x not in modelled and lm.shape(x) == group - 1}
+                p *= (rest.get(w, 0) + 0.5) / (sum(rest.values()) + 0.5 * (len(rest) + 1))
+            total += math.log10(p)
+            before = [unit, *before[:2]]
+        want.append((repr(d), len(ws) + 1, total))
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-4)
+
+
+def test_units_grow_with_the_vocabulary(spark, docs_of):
+    size = lambda n: int(lm.Vocabulary(lm.count_words(docs_of([(1, " ".join(f"w{i}" for i in range(n)))]), "text"), 1).units[-1]) - 1 - lm.SHAPES
+    assert size(400) == 160 and size(10_000) == 800
+
+
+def test_results_are_averaged_in_a_tree(spark):
+    rng = np.random.default_rng(0)
+    change, samples = rng.normal(size=(300, 6)).astype(np.float16), rng.integers(1, 9, 300)
+    parts = spark.createDataFrame([(i, int(samples[i]), bytearray(change[i].tobytes())) for i in range(300)], "part long, samples long, change binary")
+    rows = lm.merged(parts, 300).collect()
+    assert len(rows) == 2 and sum(r["samples"] for r in rows) == samples.sum()
+    mean = sum(r["samples"] * np.frombuffer(bytes(r["change"]), np.float16).astype(float) for r in rows) / samples.sum()
+    assert mean == pytest.approx((change.astype(float) * samples[:, None]).sum(0) / samples.sum(), abs=3e-3)
+
+
 def test_training_step_follows_the_gradient():
-    """The loss of a batch falls, and noise-contrastive scores near the true log-probabilities for a solved case."""
+    """The loss of batches falls where the word before tells the next, among units of one class and of others."""
     rng = np.random.default_rng(0)
-    counts = np.array([10.0, 500, 300, 200])
-    model = lm.Model.start(counts)
+    counts, units = np.array([10.0, 500, 300, 200, 100]), np.array([0, 1, 3, 5])
+    model = lm.Model.start(counts, units)
     trainer = lm.Trainer(model, counts, 0)
-    context = rng.integers(1, 4, (40_000, lm.CONTEXT)).astype(np.int32)
+    context = rng.integers(1, 5, (40_000, lm.CONTEXT)).astype(np.int32)
     target = np.where(rng.random(40_000) < 0.9, context[:, 0], 1).astype(np.int32)  # mostly the word before
     before = model.log10_probability(context, target).mean()
-    for at in range(0, 40_000, lm.BATCH):
-        trainer.step(context[at : at + lm.BATCH], target[at : at + lm.BATCH])
-    after = lm.Model(len(counts), model.flat.copy()).log10_probability(context, target).mean()
+    for at in range(0, 40_000, 2048):
+        trainer.step(context[at : at + 2048], target[at : at + 2048])
+    after = lm.Model(units, model.flat.copy()).log10_probability(context, target).mean()
     assert after > before + 0.2
 
 
