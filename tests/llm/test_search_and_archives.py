@@ -171,6 +171,42 @@ def test_changed_templates_against_plain_alignment():
                 assert got and got[0][2] == pytest.approx(want, abs=0.03) and got[0][2] <= want + 1e-9
 
 
+def test_repeated_beginnings_keep_spans_apart_and_cost_little():
+    """A notice, a thousand times its first words, the notice: two stretches, each where it stands."""
+    import time
+
+    index = licenses._index(tuple(sorted(licenses.TEMPLATES.items())))
+    mit = licenses.TEMPLATES["MIT"]
+    n = len(licenses.words_of(mit))
+    text = " ".join([mit, *["Permission is hereby granted free of charge"] * 1000, mit]).encode()
+    began = time.process_time()
+    got = [r for r in licenses.scan_text(text, index) if r[0] == "MIT"]
+    assert time.process_time() - began < 3
+    assert [r[1:5] for r in got] == [(n, 1.0, 0, n), (n, 1.0, n + 7000, 7000 + 2 * n)]
+
+
+def test_other_versions_are_not_taken_for_each_other():
+    index = licenses._index(tuple(sorted(licenses.TEMPLATES.items())))
+    names = lambda t: [r[0] for r in licenses.scan_text(t.encode(), index)]
+    assert names("This work is licensed under the GNU General Public License, version 2.") == ["GPL-2.0-line"]
+    assert names("This work is licensed under the GNU General Public License, version 7.") == []
+    assert names("Licensed under CC BY-SA 3.0.") == ["CC-BY-SA-3.0-line"] and names("Licensed under the Apache License, Version 1.1.") == []
+
+
+def test_a_fifth_of_the_words_may_differ_anywhere():
+    """Every template, with as many words replaced as `least` allows, evenly or at random, is found."""
+    rng = random.Random(6)
+    index = licenses._index(tuple(sorted(licenses.TEMPLATES.items())))
+    for name, template in licenses.TEMPLATES.items():
+        words = licenses.words_of(template)
+        free = [i for i, w in enumerate(words) if not w.isdigit()]
+        changes = len(words) - math.ceil(licenses.LEAST * len(words) - 1e-9)
+        for trial in range(6):
+            spots = set(rng.sample(free, changes)) if trial else {free[len(free) * (2 * i + 1) // (2 * changes)] for i in range(changes)}
+            text = " ".join(["q", *("zzz" if i in spots else w for i, w in enumerate(words)), "q"])
+            assert any(matched / len(index.templates[index.names.index(n)]) >= licenses.LEAST for n, matched, *_ in licenses.scan_text(text.encode(), index)), (name, text)
+
+
 def test_winnowing_keeps_one_of_every_window():
     rng = np.random.default_rng(0)
     for n in range(1, 30):
