@@ -11,7 +11,7 @@ states u8[blocks, lanes]; words u4; a final line feed. Files are written and rea
 binaryFile source), so any store will do.
 
 Defined cases: a null text is empty; every document ends with `end`; null ids stand first; rows that repeat an id stand
-in the order of their tokens; an empty table gives no rows; other columns are not read.
+in the order of a hash of their tokens; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ HEADER = np.dtype([("magic", "<u4"), ("version", "<u4"), ("scale", "<u4"), ("lan
 INDEX = np.dtype([("tokens", "<u4"), ("words", "<u4"), ("first_token", "<u8"), ("first_word", "<u8"), ("crc", "<u4")])
 LOW = np.uint64(1 << 31)
 #: Id that ends every document, tokens of a block, coders of a block, tokens of a file.
-END, BLOCK, LANES, FILE_TOKENS = 2, 1 << 15, 32, 2_000_000
+END, BLOCK, LANES, FILE_TOKENS = 2, 1 << 15, 32, 1_000_000
 #: Chunks of text that a worker remembers with their ids; chunks that are encoded together.
 CACHE, TOGETHER = 450_000, 1_000
 #: Chunks of printable ASCII and Latin-1 letters: lower-casing and composing keep their length, and they hold no special token.
@@ -367,8 +367,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, key
             release()
 
     files = max(1, -(-total // FILE_TOKENS))
-    ordered = table_rows.where("ids is not null").select("doc_id", "ids").repartitionByRange(files, F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    # Rows of one id, and equal rows, are cut as well, so that no id is bound to one file.
+    by = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc(), F.col("number").asc()]
+    rows = table_rows.where("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("number"))
+    ordered = rows.repartitionByRange(files, *by).sortWithinPartitions(*by).select("doc_id", "ids")
     ordered.mapInArrow(run, "file binary").select(F.col("file").cast("string")).write.option("lineSep", "\n").text(f"{path}/files")
     return total
 
@@ -410,11 +412,19 @@ def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, key:
     path = path or shared_path(spark, "tokens")
     write_tokens(docs, path, tokenizer, key=key, text=text)
     read = stored(read_tokens(spark, path), "read")
-    before = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    files = read.groupBy("ordinal").agg(F.sum("n_tokens").alias("n")).select("ordinal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    files = file_starts(stored(read.groupBy("ordinal").agg(F.sum("n_tokens").alias("n")), "files"))
     return read.join(maybe_broadcast(files), "ordinal").select("doc_id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def file_starts(files: DataFrame, together: int = 4096) -> DataFrame:
+    """(ordinal, base): tokens of all files before, from (ordinal, n); files are summed `together` at a time first."""
+    grouped = files.withColumn("group", F.floor(F.col("ordinal") / together))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = grouped.groupBy("group").agg(F.sum("n").alias("n")).select("group", before(Window.orderBy("group")).alias("above"))
+    within = grouped.withColumn("inside", before(Window.partitionBy("group").orderBy("ordinal")))
+    return within.join(maybe_broadcast(groups), "group").select("ordinal", (F.col("above") + F.col("inside")).alias("base"))
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -6,9 +6,10 @@ record becomes a WARC record with the equivalent target, date, type, identifier
 and record) and digests (bare base32 SHA-1). Records of equal payloads become one response, that of the largest id, and
 revisits that refer to it.
 
-Archives are written by Spark's text writer (a record and a final line feed per row) and read by its binaryFile source,
-so any store will do. Payloads aren't shuffled: which record a revisit refers to is found from digests, and only
-digests that occur more than once are kept, broadcast if they are few.
+Tasks put records together until an archive has ARCHIVE_BYTES; archives are written by Spark's text writer, one per file,
+and read by its binaryFile source, so any store will do. Which record a revisit refers to is found from digests, and only
+digests that occur more than once are kept, broadcast if they are few; if they are many, pages are shuffled by digest,
+those of one digest to several tasks.
 
 Defined cases: a null payload is empty; null or blank targets become `urn:none`; a null id makes a record without id,
 which revisits a record of equal payload that has one; rows that repeat an id and a payload are of one type; an empty
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, pieces, shared_path, ship, stored
+from .common import pieces, shared_path, ship, spread_join, stored
 
 #: Fields of an ARC record's header line, by the version in the file's own header.
 ARC_FIELDS = {
@@ -40,7 +41,8 @@ ARC_TITLES = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-ARCHIVE_RECORDS = 5_000
+#: Bytes from which on an archive is closed; a larger record is an archive of its own.
+ARCHIVE_BYTES = 32 << 20
 
 
 class ArcRecord(NamedTuple):
@@ -178,12 +180,18 @@ def convert(pages: DataFrame, path: str, least: int = 0, date: str = "2000010100
     slim = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.when(F.octet_length(body) >= least, F.sha1(body.cast("binary"))).alias("sha"))
     equal = slim.where("sha is not null").groupBy("sha").agg(F.max_by("url", "page_id").alias("owner_url"), F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 and owner is not null")
     owners = stored(equal.select("sha", "owner", "owner_url"), "owners")
-    decided = slim.join(maybe_broadcast(owners), "sha", "left")
+    decided = spread_join(slim, owners, "sha", "left", "page_id")
     refers = F.when(F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("page_id")), F.col("owner"))
     decided = decided.select("page_id", "url", "payload", refers.alias("refers_to"), "owner_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         version = 1 + TaskContext.get().partitionId() % 2
+        held, size = [], 0
+
+        def archive() -> pa.RecordBatch:
+            # The writer adds the last line feed.
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["record"])
+
         for batch in batches:
             for b in pieces(batch, 2):
                 ids, urls, refs, others = (b.column(i).to_pylist() for i in (0, 1, 3, 4))
@@ -191,11 +199,17 @@ def convert(pages: DataFrame, path: str, least: int = 0, date: str = "2000010100
                 contents = [b"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(p) + p for p in bodies]
                 legacy = write_arc([ArcRecord(arc_url(u), "0.0.0.0", date, "text/html", c, "200") for u, c in zip(urls, contents, strict=True)], version)
                 made = [to_warc(r, i, ref, arc_url(o)) for r, i, ref, o in zip(read_arc(legacy), ids, refs, others, strict=True)]
-                # The writer adds the last line feed.
-                yield pa.RecordBatch.from_arrays([pa.array([m[:-1] for m in made], pa.binary())], names=["record"])
+                for m in made:
+                    if held and size + len(m) > ARCHIVE_BYTES:
+                        yield archive()
+                        held, size = [], 0
+                    held.append(m)
+                    size += len(m)
+        if held:
+            yield archive()
 
     rows = decided.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
-    rows.write.option("lineSep", "\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    rows.write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:

@@ -105,6 +105,22 @@ def test_damaged_archives_are_refused():
         list(warc.read_warc(record[:-3]))
 
 
+def test_archives_are_closed_by_bytes(spark, tmp_path, monkeypatch):
+    """Files of bounded bytes, a larger record alone; also when many digests occur more than once."""
+    from daymosaic.llm import common
+
+    rows = [(i, f"http://h/{i}", "page " * (i % 40)) for i in range(300)] + [(1000, "http://h/big", "x" * 30_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    schema = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    want = sorted(tuple(r) for r in warc.arc_to_warc(pages).select(*schema).collect())
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 3)
+    raw = b"".join(warc.to_warc(warc.ArcRecord("u", "0", "20000101000000", "t", b"x" * 20_000), 1, None) for _ in range(2))
+    assert len(list(warc.read_warc(raw))) == 2
+    path = tmp_path.as_uri() + "/w"
+    assert sorted(tuple(r) for r in warc.arc_to_warc(pages, path).select(*schema).collect()) == want
+    assert sum(r[3] == "revisit" for r in want) == 260 and {r[4] for r in want} <= {None, *range(260, 300)}
+
+
 def test_dates_and_identifiers():
     assert [warc.warc_date(d) for d in ("20010203040506", "200102030405", "20010203")] == ["2001-02-03T04:05:06Z", "2001-02-03T04:05:00Z", "2001-02-03T00:00:00Z"]
     a, b = warc.record_id("u", "d", "x", 1), warc.record_id("u", "d", "x", 2)

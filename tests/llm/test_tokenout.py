@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -100,5 +101,26 @@ def test_files_hold_all_documents_in_order(spark, docs_of, tmp_path, monkeypatch
     assert len(list((tmp_path / "files").glob("part-*"))) > 3
 
 
+def test_a_hot_id_is_cut_into_files(spark, tmp_path, monkeypatch):
+    """Null ids, one hot id with different texts, and equal rows of it, in many files whose tokens follow each other."""
+    import public_tokenizers
+
+    monkeypatch.setattr(t, "FILE_TOKENS", 2000)
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    rows = [*[(None, f"text {i}") for i in range(1000)], *[(7, "the same text") for _ in range(1500)], *[(7, f"other {i}") for i in range(500)], (9, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted((tuple(r) for r in t.token_output(docs, tokenizer, tmp_path.as_uri()).collect()), key=lambda r: r[1])
+    assert [d for d, *_ in out] == [None] * 1000 + [7] * 2000 + [9] and out[0][1] == 0
+    assert all(b[1] == a[1] + a[2] for a, b in zip(out, out[1:], strict=False))
+    sizes = [r["n"] for r in t.read_tokens(spark, tmp_path.as_uri()).groupBy("ordinal").agg(F.sum("n_tokens").alias("n")).collect()]
+    assert len(sizes) > 3 and max(sizes) < sum(sizes) / 2
+
+
+def test_starts_of_many_files(spark):
+    files = spark.createDataFrame([(i, i % 5 + 1) for i in range(40)], "ordinal long, n long")
+    got = {r["ordinal"]: r["base"] for r in t.file_starts(files, 7).collect()}
+    assert got == {i: sum(j % 5 + 1 for j in range(i)) for i in range(40)}
+
+
 def test_empty_table(spark, docs_of, path):
     assert t.token_output(docs_of([(1, "a")]).limit(0), path).count() == 0
