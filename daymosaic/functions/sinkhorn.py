@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Added to masses inside logarithms; mean change of the duals at which iteration stops.
+# What is added to masses inside logarithms; mean change of the duals at which iteration stops.
 TINY, STOP = 1e-8, 0.1
 #: Cells of a plan that a task holds.
 CELLS = 2_000_000

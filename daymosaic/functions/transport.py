@@ -17,7 +17,7 @@ def _net(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[
     return (np.array([p for p, _ in left]).reshape(-1, shape), [m for _, m in left], np.array([p for p, _ in right]).reshape(-1, shape), [m for _, m in right])
 
 
-def _prices(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray, halvings: int = 11, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def _prices(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray, halvings: int = 9, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """Approximate prices of both sides: entropic transport, smoothed less and less, in the log domain."""
     f, g = np.zeros(len(supply)), np.zeros(len(demand))
     a, b = supply / supply.sum(), demand / demand.sum()
@@ -36,7 +36,7 @@ def _prices(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray, halvings:
 def _start(cost: np.ndarray, supply: list[int], demand: list[int]) -> list[tuple[int, int, int]]:
     """A feasible tree: pairs are filled in the order of their cost at approximate prices."""
     f, g = _prices(cost, np.array(supply, float), np.array(demand, float))
-    order = np.argsort((cost - f[:, None] - g[None, :]).ravel(), kind="stable")
+    order = np.argsort((cost - f[:, None] - g[None, :]).astype(np.float32).ravel(), kind="stable")
     left, room, arcs = list(supply), list(demand), []
     open_left, open_room = np.ones(len(left), bool), np.ones(len(room), bool)
     at, step = 0, 4 * (len(left) + len(room))
@@ -72,7 +72,7 @@ def transport_cost(cost: np.ndarray, supply: list[int], demand: list[int], block
     for i, j, flow in _start(cost, mass, want):
         near[i][n + j] = near[n + j][i] = flow
     parent, depth, price = [-1] * size, [0] * size, [0.0] * size
-    rows = cost.tolist()
+    of = cost.item  # a list of lists would take many times the matrix's memory
 
     def hang(root: int, above: int) -> None:
         """Set parents, depths and prices of what root leads to, away from above."""
@@ -83,7 +83,7 @@ def transport_cost(cost: np.ndarray, supply: list[int], demand: list[int], block
             p = parent[v]
             if p >= 0:
                 depth[v] = depth[p] + 1
-                price[v] = (rows[v][p - n] if v < n else rows[p][v - n]) - price[p]
+                price[v] = (of(v, p - n) if v < n else of(p, v - n)) - price[p]
             for w in near[v]:
                 if w != p:
                     parent[w] = v

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.transport import emd_points
 from ..plans.jobs import Jobs
 from ..schema import OBSERVED
-from .features import CELL
+from .features import CELL, hooked
 
 
 def line_distances(sides: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,6 +69,7 @@ def scored(hist: DataFrame, keys: DataFrame, models: list[str], jobs: Jobs) -> D
     lines = line_distances(sides.where(~F.col("fid").isin(planes)) if planes else sides, CELL)
     if planes:
         lines = lines.unionByName(plane_distances(sides.where(F.col("fid").isin(planes)), CELL, jobs.bin / jobs.day))
+    lines = hooked(lines, "value", sides, features, "distance")
     both = F.col("has_a") & F.col("has_b")
     value = F.when(~both & F.col("fid").isin(penal), penalty).otherwise(F.coalesce(F.nanvl("value", F.lit(0.0)), F.lit(0.0)))
     return keys.join(lines, CELL, "left").withColumn("value", value)

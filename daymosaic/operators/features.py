@@ -181,6 +181,17 @@ def described(hist: DataFrame) -> DataFrame:
     return hist.groupBy(*CELL).agg(F.sum("w").alias("weight"), (F.sum(v * F.col("w")) / F.sum("w")).alias("value"))
 
 
+def hooked(table: DataFrame, column: str, hist: DataFrame, features: Sequence[Feature], hook: str) -> DataFrame:
+    """table (a row per cell) with the column that features' own functions give, where they have one."""
+    for i, f in enumerate(features):
+        own = getattr(f, hook)
+        if own is not None:
+            given = own(hist.where(F.col("fid") == i)).select(*CELL, F.col(column).alias("_own"))
+            here = F.when(F.col("fid") == i, F.col("_own")).otherwise(F.col(column))
+            table = table.join(given, CELL, "left").withColumn(column, here).drop("_own")
+    return table
+
+
 def feature_name(features: Sequence[Feature], attribute: str) -> Column:
     """A feature's attribute by its fid."""
     return F.element_at(F.array(*[F.lit(getattr(f, attribute)) for f in features]), F.col("fid") + 1)

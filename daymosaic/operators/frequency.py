@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import running, stored
+
 
 def count_schedules(sched: DataFrame) -> DataFrame:
     """(segment, value, weight): the number of schedules."""
@@ -24,6 +26,27 @@ def discretised(sched: DataFrame, duration: int = 1440, step: int = 15) -> DataF
     return spread.groupBy("pid", "bin").agg(F.max_by("act", "seq").alias("act"))
 
 
+def one_hot(sched: DataFrame, duration: int = 1440, step: int = 15, acts: list[str] | None = None) -> DataFrame:
+    """(pid, classes): per person a row of 0 and 1 for each sampled time, with a place per activity.
+
+    acts: the activities, each of which has the place it has in the list; by default all, in order. Times without an
+    episode count as the first activity. The vocabulary of activities is one row.
+    """
+    names = sorted(r[0] for r in sched.select("act").distinct().collect() if r[0] is not None) if acts is None else list(acts)
+    bins, places = duration // step, F.array(*[F.lit(a) for a in names])
+    place = F.greatest(F.array_position(places, F.col("act")) - 1, F.lit(0)).cast("int")
+    found = discretised(sched, duration, step).groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("bin", place.alias("place")))).alias("own"))
+    persons = sched.select("pid").distinct().join(found, "pid", "left")
+    here = lambda b: F.coalesce(F.try_element_at("own", b), F.lit(0))
+    row = lambda b: F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda c: F.when(c == here(b), 1).otherwise(0))
+    return persons.select("pid", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), row).alias("classes"))
+
+
+def down_sampled(values: DataFrame, step: int, column: str = "classes") -> DataFrame:
+    """values with every step-th entry of an array column, from the first on."""
+    return values.withColumn(column, F.filter(column, lambda _, i: i % step == 0))
+
+
 def binned_counts(sched: DataFrame, duration: int = 1440, step: int = 15) -> DataFrame:
     """(bin, act, count, density): persons per sampled time and activity, all combinations.
 
@@ -67,10 +90,11 @@ def sequence_shares(sched: DataFrame) -> DataFrame:
     """(sequence, persons, share, upto): whole sequences by how many persons have them; upto: share of it and all rarer ones."""
     steps = F.array_sort(F.collect_list(F.struct("seq", "act")))
     own = sched.groupBy("pid").agg(F.array_join(F.transform(steps, lambda s: s["act"]), ">").alias("sequence"))
-    counts = own.groupBy("sequence").agg(F.count("*").alias("persons"))
-    rarer = Window.orderBy(F.col("persons").desc(), "sequence").rowsBetween(0, Window.unboundedFollowing)
-    share = F.col("persons") / F.sum("persons").over(Window.partitionBy())
-    return counts.withColumn("share", share).withColumn("upto", F.sum("share").over(rarer))
+    counts = stored(own.groupBy("sequence").agg(F.count("*").alias("persons")), "sequences")
+    different, total = counts.agg(F.count("*"), F.sum("persons")).first()
+    before = running(counts, [F.col("persons").desc(), F.col("sequence").asc()], {"before": F.col("persons")}, different)
+    n = F.lit(total or 1)
+    return before.select("sequence", "persons", (F.col("persons") / n).alias("share"), ((n - F.col("before")) / n).alias("upto"))
 
 
 def bigram_matrix(sched: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ are smaller than the input, and a lost executor costs no recomputation of the st
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from functools import cached_property, reduce
 from pathlib import Path
@@ -47,7 +48,8 @@ def density_rows(sched: DataFrame, members: DataFrame, models: list[str], jobs:
     allowed = wanted.where(F.col("model") != OBSERVED).join(present, "model").where(F.size(F.array_except("acts", "present")) == 0).select(*features.CELL)
     hist = hist.where(F.col("model") == OBSERVED).unionByName(hist.where(F.col("model") != OBSERVED).join(allowed, features.CELL, "left_semi"))
     hist = stored(hist, "histograms")
-    described = features.described(hist)
+    described = features.hooked(features.described(hist), "weight", hist, jobs_features, "size")
+    described = features.hooked(described, "value", hist, jobs_features, "describe_by")
     # Observed segments are those of the whole observed population, also where a category has none.
     own = wanted.where(F.col("model") == OBSERVED).select("model", "fid", "segment").join(cats.withColumn("model", F.lit(OBSERVED)), "model")
     mean = [i for i, f in enumerate(jobs_features) if f.describe == "mean"]
@@ -331,3 +333,15 @@ def compare(observed: object, synthetic: object, order_col: str | None = None, j
 def compare_splits(observed: object, synthetic_schedules: Mapping[str, object], synthetic_attributes: Mapping[str, object], target_attributes: object, split_on: list[str], jobs: Jobs | None = None) -> EvalResult:
     """Compare within each category of the split columns."""
     return Evaluator(observed, target_attributes, split_on, jobs=jobs).compare(synthetic_schedules, synthetic_attributes)
+
+
+def evaluate(synthetic_schedules: Mapping[str, object], target_schedules: object, report_stats: bool = True, verbose: bool = False) -> EvalResult:
+    """Deprecated: compare() with its arguments the other way round."""
+    warnings.warn("evaluate() will go, use compare()", DeprecationWarning, stacklevel=2)
+    return compare(target_schedules, synthetic_schedules)
+
+
+def subsample_and_evaluate(synthetic_schedules: Mapping[str, object], synthetic_attributes: Mapping[str, object], target_schedules: object, target_attributes: object, split_on: list[str], report_stats: bool = True, verbose: bool = False) -> EvalResult:
+    """Deprecated: compare_splits() with its arguments in another order."""
+    warnings.warn("subsample_and_evaluate() will go, use compare_splits()", DeprecationWarning, stacklevel=2)
+    return compare_splits(target_schedules, synthetic_schedules, synthetic_attributes, target_attributes, split_on)

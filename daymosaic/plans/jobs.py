@@ -18,6 +18,9 @@ class Feature:
     if they don't count. describe: mean (0 if empty), time (null if empty) or plane (sum of both components).
     missing: distance where one side lacks the segment; None compares with a point at 0.
     fn: custom features only, canonical table with model -> (model, pid, segment, acts, v1, v2).
+    size, describe_by, distance: replace how a feature's segments are weighed, described and scored; each is given rows of
+    the feature's histograms with the columns of a cell (model, label, cat, fid, segment), v1 and v2, and returns a value
+    per cell. size and describe_by: counts w -> weight, or value. distance: observed and model counts wa and wb -> value.
     """
 
     domain: str
@@ -32,6 +35,9 @@ class Feature:
     missing: float | None = None
     dims: int = 1
     fn: Callable[[DataFrame], DataFrame] | None = None
+    size: Callable[[DataFrame], DataFrame] | None = None
+    describe_by: Callable[[DataFrame], DataFrame] | None = None
+    distance: Callable[[DataFrame], DataFrame] | None = None
 
 
 def _counts(name: str, key: str, text: str, default: bool, unit: str = "av. rate") -> Feature:
@@ -46,6 +52,7 @@ def _times(name: str, key: str, text: str, default: bool, dims: int = 1) -> Feat
     return Feature("timing", name, "timing", key, "average", text, default, None, "plane" if dims == 2 else "time", 1.0, dims)
 
 
+# Domains, names, config keys and units of the features.
 FEATURES: tuple[Feature, ...] = (
     _counts("lengths", "lengths", "Number of episodes of each person.", True, "length."),
     _counts("participation rate", "rates", "How often each person does each activity.", True),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,6 +68,23 @@ def report(result: EvalResult, log_dir: str | Path | None = None, first: int | N
     return "\n".join(out)
 
 
+def _mean_by(report: DataFrame, suffix: str, weight: Callable[[str], Column]) -> dict[str, float | None]:
+    columns = [c for c in report.columns if not c.endswith(suffix) and f"{c}{suffix}" in report.columns]
+    total = lambda c: F.sum(weight(c))
+    row = report.agg(*[F.try_divide(F.sum(F.col(f"`{c}`") * weight(c)), total(c)).alias(c) for c in columns]).first()
+    return row.asDict() if columns else {}
+
+
+def weighted_average(report: DataFrame, suffix: str = "__weight") -> dict[str, float | None]:
+    """Mean of each column of a wide table by the weights in the column of its name and suffix (null without weight)."""
+    return _mean_by(report, suffix, lambda c: F.col(f"`{c}{suffix}`"))
+
+
+def distance_weighted_average(report: DataFrame, base_col: str = "observed__weight", suffix: str = "__weight") -> dict[str, float | None]:
+    """The same by the mean of a column's own weights and those in base_col."""
+    return _mean_by(report, suffix, lambda c: (F.col(f"`{c}{suffix}`") + F.col(f"`{base_col}`")) / 2)
+
+
 def heatmap_table(result: EvalResult) -> pd.DataFrame:
     """Group distances of all models, for a heat map."""
     return result.groups.combined.distances.toPandas().set_index(["domain", "feature"])

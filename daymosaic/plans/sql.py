@@ -313,4 +313,24 @@ pr AS (SELECT a.pid AS pid_a, b.pid AS pid_b, a.seq AS i, b.seq AS j, sqrt((a.x
 ro AS (SELECT pid_a, pid_b, avg(r) AS m FROM (SELECT pid_a, pid_b, i, min(r) AS r FROM pr GROUP BY ALL) x GROUP BY pid_a, pid_b),
 co AS (SELECT pid_a, pid_b, avg(r) AS m FROM (SELECT pid_a, pid_b, j, min(r) AS r FROM pr GROUP BY ALL) x GROUP BY pid_a, pid_b)
 SELECT pid_a, pid_b, round((ro.m + co.m) / 2 / sqrt(2), 9) AS distance FROM ro JOIN co USING (pid_a, pid_b)""",
+    "feature_catalogue": """
+SELECT * FROM (VALUES
+  ('participations', 'lengths', 'lengths', 'Number of episodes of each person.', TRUE),
+  ('participations', 'participation rate', 'rates', 'How often each person does each activity.', TRUE),
+  ('participations', 'pair participation rate', 'pair_rates', 'How often each person does both activities of a pair.', TRUE),
+  ('participations', 'seq participation rate', 'seq_rates', 'Whether each person does an activity at a position.', FALSE),
+  ('participations', 'enum participation rate', 'enum_rates', 'Whether each person does an activity for the n-th time.', FALSE),
+  ('transitions', '2-gram', '2-gram', 'How often each person makes each sequence of 2 activities.', TRUE),
+  ('transitions', '3-gram', '3-gram', 'How often each person makes each sequence of 3 activities.', TRUE),
+  ('transitions', '4-gram', '4-gram', 'How often each person makes each sequence of 4 activities.', TRUE),
+  ('timing', 'start times', 'start_times', 'Start of each activity''s n-th occurrence.', TRUE),
+  ('timing', 'durations', 'durations', 'Duration of each activity''s n-th occurrence.', TRUE),
+  ('timing', 'start-durations', 'start_durations', 'Start and duration of each activity, binned.', TRUE),
+  ('timing', 'joint-durations', 'joint_durations', 'Durations of an episode and the next, binned, by the first one''s activity.', TRUE),
+  ('timing', 'start times by act', 'start_times_by_act', 'Start of each activity, binned.', FALSE),
+  ('timing', 'end times by act', 'end_times_by_act', 'End of each activity, binned.', FALSE),
+  ('timing', 'durations by act', 'durations_by_act', 'Duration of each activity, binned.', FALSE),
+  ('timing', 'time consistency', 'time_consistency', 'Whether schedules start at 0, end with the day and fill it.', FALSE),
+  ('sequences', 'full sequences', 'full_sequences', 'Whether each person has a sequence of activity initials.', FALSE)
+) AS t(domain, name, config_key, description, in_default_config)""",
 }

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _own_roots: dict[str, str] = {}
 _made: list[str] = []
@@ -36,6 +38,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], rows: int, cell: int = 100_000) -> DataFrame:
+    """df with, for each name, the sum of the column over all rows before (exclusive), in the given total order.
+
+    Rows are dealt by range, so a task sorts about `cell` of them; only the parts' totals, a row each, meet in one window.
+    """
+    parts = max(1, -(-rows // cell))
+    placed = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "running")
+    totals = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(above), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
+    local = local.join(F.broadcast(bases) if parts <= 1_000_000 else bases, "_part")
+    return local.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop("_part", *[f"_b_{n}" for n in sums])
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all that this process has stored in the shared folder. Results that weren't written elsewhere are lost."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -136,3 +136,44 @@ def test_catalogue(spark):
     table = list_features(spark)
     assert table.count() == 17 and table.where("in_default_config").count() == 10
     assert set(daymosaic.__all__) <= set(dir(daymosaic))
+
+
+def test_hooks_replace_weights_descriptions_and_distances(spark):
+    """A feature with functions of its own: each is given the feature's histograms, and the other features stay as they are."""
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from daymosaic.operators.features import CELL
+
+    cell = [F.col(c) for c in CELL]
+    (lengths,) = [f for f in FEATURES if f.name == "lengths"]
+    own = replace(
+        lengths, size=lambda h: h.groupBy(*cell).agg((F.sum("w") * 10).alias("weight")),
+        describe_by=lambda h: h.groupBy(*cell).agg(F.max("v1").alias("value")),
+        distance=lambda h: h.groupBy(*cell).agg((F.sum("wb") - F.sum("wa")).cast("double").alias("value")),
+    )
+    (rate,) = [f for f in FEATURES if f.name == "participation rate"]
+    plain, hooked = (compare(OBSERVED, {"m": SYNTHETIC}, jobs=Jobs((f, rate), diversity=False, novelty=False, home_based=False, consecutive=False)) for f in (lengths, own))
+    rows = lambda r, name: {(x["segment"], x["model"]): (x["value"], x["weight"]) for x in r.raw[name].where("feature = 'lengths'").collect()}
+    assert {model: found for (_, model), found in rows(hooked, "descriptions").items()} == {"observed": (3.0, 20), "m": (3.0, 30)}
+    assert {v[0] for v in rows(hooked, "distances").values()} == {1.0}
+    others = lambda r: sorted(tuple(x) for x in r.raw["distances"].where("feature <> 'lengths'").select("segment", "value", "weight").collect())
+    assert others(plain) == others(hooked) != []
+
+
+def test_deprecated_names_give_the_same(spark, result):
+    with pytest.warns(DeprecationWarning):
+        old = daymosaic.evaluate({"m": SYNTHETIC}, OBSERVED)
+    assert old.summary().collect() == result.summary().collect()
+    groups = pd.DataFrame({"pid": [0, 1, 2], "g": ["x", "y", "x"]})
+    with pytest.warns(DeprecationWarning):
+        old = daymosaic.subsample_and_evaluate({"m": SYNTHETIC}, {"m": groups}, OBSERVED, groups[:2], ["g"])
+    new = compare_splits(OBSERVED, {"m": SYNTHETIC}, {"m": groups}, groups[:2], ["g"])
+    assert old.domains.by_category.distances.collect() == new.domains.by_category.distances.collect()
+
+
+def test_averages_over_wide_tables(spark):
+    wide = spark.createDataFrame([(1.0, 2, 3.0, 1, 4), (3.0, 6, 5.0, 3, 0)], "a double, a__weight int, b double, b__weight int, observed__weight int")
+    assert report.weighted_average(wide) == {"a": 2.5, "b": 4.5}
+    assert report.distance_weighted_average(wide) == pytest.approx({"a": (1 * 3 + 3 * 3) / 6, "b": (3 * 2.5 + 5 * 1.5) / 4})

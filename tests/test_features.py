@@ -92,3 +92,24 @@ def test_custom_features(spark):
     sched = schedules(spark, ACTS)
     counts = features.value_counts(features.feature_rows(sched, jobs))
     assert {(r["v1"], r["w"]) for r in counts.collect()} == {(2.0, 2)}
+
+
+def test_shares_of_sequences_add_up_from_the_rarest(spark):
+    from pyspark.sql import functions as F
+
+    from daymosaic.operators import frequency
+
+    df = spark.createDataFrame([(p, s, a) for p, acts in enumerate(["hwh", "hwh", "hwh", "hs", "hs", "w", "x"]) for s, a in enumerate(acts)], "pid long, seq int, act string")
+    got = {r["sequence"]: (r["persons"], r["share"], r["upto"]) for r in frequency.sequence_shares(df).collect()}
+    assert got == {"h>w>h": (3, 3 / 7, 1.0), "h>s": (2, 2 / 7, 4 / 7), "w": (1, 1 / 7, 2 / 7), "x": (1, 1 / 7, 1 / 7)}
+    assert frequency.sequence_shares(df.limit(0)).count() == 0 and F is not None
+
+
+def test_rows_of_classes(spark):
+    from daymosaic.operators import frequency
+
+    df = spark.createDataFrame([(0, 0, "home", 0, 2), (0, 1, "work", 2, 4), (1, 0, "work", 1, 3)], "pid long, seq int, act string, start int, end int")
+    rows = {r["pid"]: r["classes"] for r in frequency.one_hot(df, 4, 1).collect()}
+    assert rows == {0: [[1, 0], [1, 0], [0, 1], [0, 1]], 1: [[1, 0], [0, 1], [0, 1], [1, 0]]}
+    assert {r["pid"]: r["classes"] for r in frequency.down_sampled(frequency.one_hot(df, 4, 1), 2).collect()} == {0: [[1, 0], [0, 1]], 1: [[1, 0], [0, 1]]}
+    assert {len(r["classes"][0]) for r in frequency.one_hot(df, 4, 2, ["work", "home", "shop"]).collect()} == {3}

@@ -73,6 +73,20 @@ def test_discovery(spark, tmp_path):
         files.discover(spark, str(tmp_path))
 
 
+def test_files_of_unknown_kind_are_refused(spark, tmp_path):
+    write(tmp_path / "a/s.csv", plans("home,work,home"))
+    write(tmp_path / "a/notes.csv", pd.DataFrame({"x": [1]}))
+    with pytest.raises(files.InputError, match="notes.csv"):
+        files.discover(spark, str(tmp_path))
+
+
+def test_large_tables_are_written_as_one_file(spark, tmp_path):
+    path = tmp_path / "deep/out.csv"
+    for n in (500, 0):  # an existing file is replaced
+        files.write_csv(spark.range(n).repartition(4).selectExpr("id", "concat('a,', id) as t"), str(path))
+        assert sorted(pd.read_csv(path)["id"]) == list(range(n)) and [p.name for p in path.parent.glob("[!.]*")] == ["out.csv"]
+
+
 def test_comparison_on_the_command_line(spark, tmp_path, capsys):
     target = write(tmp_path / "t.csv", plans("home,work,home;home,shop,home"))
     model = write(tmp_path / "m.parquet", plans("home,work,home;home,home").assign(duration=1).drop(columns="end"))
