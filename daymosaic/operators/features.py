@@ -131,10 +131,16 @@ def memberships(sched: DataFrame, attributes: DataFrame | None = None) -> DataFr
 
 def value_counts(rows: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """(model, label, cat, fid, segment, v1, v2, w, acts) of the whole population and of each category of members."""
-    whole = rows.withColumns({"label": F.lit(NO_SPLIT), "cat": F.lit(EVERYBODY)})
-    if members is not None:
-        whole = whole.unionByName(rows.join(members.select("model", "pid", "label", "cat"), ["model", "pid"]).select(*whole.columns))
-    return whole.groupBy(*CELL, "v1", "v2").agg(F.count("*").alias("w"), F.any_value("acts").alias("acts"))
+    if members is None:
+        whole = rows.withColumns({"label": F.lit(NO_SPLIT), "cat": F.lit(EVERYBODY)})
+        return whole.groupBy(*CELL, "v1", "v2").agg(F.count("*").alias("w"), F.any_value("acts").alias("acts"))
+    # Rows are made and joined once: persons of equal categories are counted together, and the counts are dealt out.
+    place = "array<struct<label:string,cat:string>>"
+    own = members.groupBy("model", "pid").agg(F.array_sort(F.collect_set(F.struct("label", "cat"))).cast(place).alias("cats"))
+    together = rows.join(own, ["model", "pid"], "left").groupBy("model", "cats", "fid", "segment", "v1", "v2").agg(F.count("*").alias("w"), F.any_value("acts").alias("acts"))
+    everybody = F.array(F.struct(F.lit(NO_SPLIT).alias("label"), F.lit(EVERYBODY).alias("cat"))).cast(place)
+    dealt = together.withColumn("c", F.explode(F.concat(everybody, F.coalesce("cats", F.array().cast(place))))).drop("cats").select("*", "c.label", "c.cat")
+    return dealt.groupBy(*CELL, "v1", "v2").agg(F.sum("w").alias("w"), F.any_value("acts").alias("acts"))
 
 
 def segments(sched: DataFrame, counts: DataFrame, jobs: Jobs) -> DataFrame:
