@@ -41,10 +41,12 @@ MOST_TOXIC, MOST_CLEAN = 1_000, 2_000
 #: Least relevance of a term, and the chi-square at which it is half.
 FLOOR, HALF = 0.01, 20.0
 NEIGHBOURS, BLOCK, PRIOR = 15, 32, 0.5
+#: Blocks that are read first.
+FIRST = 6
 #: A term that one example in so many holds has a whole list.
 WHOLE = 16
-#: Documents whose whole lists are multiplied at once.
-BATCH = 256
+#: Documents whose whole lists are multiplied at once, words whose numbers a worker remembers.
+BATCH, REMEMBERED = 256, 200_000
 THRESHOLD = 0.7
 
 
@@ -57,10 +59,11 @@ def words_in(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         fixed = pa.array([x.decode("utf-8", "replace") for x in texts.cast(pa.binary()).to_pylist()])
         lists = pc.split_pattern_regex(pc.utf8_lower(fixed), r"[^\p{L}]+")
     coded = lists.flatten().dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
     sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    if "" in words:  # stands before and after other characters at a text's ends
-        keep = codes != words.index("")
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:  # stands before and after other characters at a text's ends
+        keep = codes != empty
         sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
         codes = codes[keep]
     return codes, words, sizes
@@ -71,15 +74,27 @@ def terms_of(word: str) -> tuple[str, ...]:
     return (word,) + ((word[:4] + "*",) if len(word) > 4 else ()) + ((word[:5] + "*",) if len(word) > 5 else ())
 
 
-def counted(texts: pa.Array, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Numbered(dict):
+    """Numbers of a word's terms (-1: unknown), remembered for some words."""
+
+    def __init__(self, number: dict[str, int]) -> None:
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        get, n = self.number.get, len(word)
+        found = get(word, -1), get(word[:4] + "*", -1) if n > 4 else -1, get(word[:5] + "*", -1) if n > 5 else -1
+        self[word] = found
+        return found
+
+
+def counted(texts: pa.Array, known: Numbered) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the known terms of each text, ascending, how often they occur, and how many there are per text."""
     codes, words, sizes = words_in(texts)
-    get = number.get
-    table = np.full((len(words) + 1, 3), -1, np.int64)
-    for i, w in enumerate(words):
-        for j, t in enumerate(terms_of(w)):
-            table[i, j] = get(t, -1)
-    numbers = table[codes]
+    number = known.number
+    numbers = np.array([known[w] for w in words], np.int64).reshape(-1, 3)[codes]
     width = max(1, len(number))
     keys = (np.repeat(np.arange(len(sizes)), sizes) * width)[:, None] + numbers
     pairs, tf = np.unique(keys[numbers >= 0], return_counts=True)
@@ -194,8 +209,8 @@ def document_frequencies(docs: DataFrame, number: dict[str, int], text: str) ->
     sent = docs.sparkSession.sparkContext.broadcast(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = sent.value, 0
-        df = np.zeros(len(known) + 1, np.int64)
+        known, total = Numbered(sent.value), 0
+        df = np.zeros(len(known.number) + 1, np.int64)
         for batch in batches:
             for b in pieces(batch, 0):
                 at, _, _ = counted(b.column(0), known)
@@ -257,24 +272,28 @@ class BlockMaxIndex:
         own, block = np.repeat(weight[cut], end - begin), self.block[cells]
         bound = start.reshape(self.blocks, BLOCK).max(1) + np.bincount(block, own * self.ceiling[cells], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, cosine, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while done < len(order):
-            if len(best) == k and bound[order[done]] < cosine[-1] - 1e-12:
-                break
+        best, cosine, done, upto = np.zeros(0, np.int64), np.zeros(0), 0, FIRST
+        while done < len(order) and bound[order[done]] > 0:
             some = np.zeros(self.blocks, bool)
-            some[order[done : done + step]] = True
-            here = some[block]
-            first, many = self.first[cells[here]], self.many[cells[here]]
-            spots = _ranges(first, many)
-            sums = np.where(np.repeat(some, BLOCK), start, 0) + np.bincount(self.who[spots], self.weight[spots] * np.repeat(own[here], many), len(start))
+            some[order[done:upto]] = True
+            here = np.flatnonzero(some[block])
+            those = cells[here]
+            many = self.many[those]
+            spots = _ranges(self.first[those], many)
+            sums = np.bincount(self.who[spots], self.weight[spots] * np.repeat(own[here], many), len(start))
+            sums = sums + start
             if leave >= 0:
                 sums[leave] = 0
-            who = np.flatnonzero(sums > (max(0.0, cosine[-1] - 1e-12) if len(best) == k else 0.0))
+            who = np.flatnonzero((sums > (max(0.0, cosine[-1] - 1e-12) if len(best) == k else 0.0)) & np.repeat(some, BLOCK))
             who, sums = np.concatenate([best, who]), np.concatenate([cosine, sums[who]])
             top = np.lexsort((who, -sums))[:k]
-            best, cosine, done, step = who[top], sums[top], done + step, step * 2
-        return best, cosine, min(done, len(order))
+            best, cosine, done = who[top], sums[top], min(upto, len(order))
+            # All blocks that may hold a nearer example are read next, and that ends it, as the k-th cosine only rises.
+            least = cosine[-1] - 1e-12 if len(best) == k else 0.0
+            upto = done + int((bound[order[done:]] >= max(least, 1e-300)).sum())
+            if upto == done:
+                break
+        return best, cosine, done
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -345,9 +364,10 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ids, number = sent.value
+        known = Numbered(number)
         for batch in batches:
             for b in pieces(batch, 2):
-                at, tf, sizes = counted(b.column(2), number)
+                at, tf, sizes = counted(b.column(2), known)
                 cuts = np.cumsum(sizes)[:-1]
                 scores, evidence = model.scores(list(zip(np.split(at, cuts), np.split(tf, cuts), strict=True)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([[ids[i] for i in e] for e in evidence], pa.list_(b.schema.field(1).type))], names=["row", "doc_id", "score", "evidence"])

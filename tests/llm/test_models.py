@@ -290,13 +290,20 @@ def test_neighbours_are_exact(seed, monkeypatch):
     assert read < 60 * index.blocks  # some blocks' bounds are too low
 
 
-def slow_scores(texts, labelled, neighbours=15):
-    """Scores by plain loops: weights, cosines with all examples, votes without oneself, isotonic calibration."""
+def slow_scores(texts, labelled, neighbours=15, groups=None):
+    """Scores by plain loops: weights, cosines with all examples, votes without oneself, isotonic calibration.
+
+    groups: which labelled documents are copies of each other; the first (toxic first, then by id) stands for them all.
+    """
     def terms(t):
         return Counter(x for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split() for x in toxicity.terms_of(w))
 
     bags = {i: terms(t) for i, t in texts.items()}
-    order = sorted(labelled, key=lambda i: (-labelled[i], i))
+    order, members = [], {}
+    for i in sorted(labelled, key=lambda i: (-labelled[i], i)):
+        members.setdefault(i if groups is None else ("g", groups[i]), []).append(i)
+    order = [m[0] for m in members.values()]
+    labelled = {m[0]: sum(labelled[i] for i in m) / len(m) for m in members.values()}
     n, toxic = len(order), sum(labelled.values())
     weight = {}
     for t in {t for i in order for t in bags[i]}:
