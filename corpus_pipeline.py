@@ -14,12 +14,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: at least 0.8 of their five-word shingles in common."""
+    """Keep one document of each group of near copies: SimHash candidates with at least 0.8 of their five-word shingles in common."""
     return nearcopies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with a twentieth of their words in passages of `benchmark`."""
+    """Drop documents that hold any window of `benchmark`."""
     return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
