@@ -14,9 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..storage import shared_path, stored
+from ..storage import running, shared_path, stored
 
 __all__ = ["maybe_broadcast", "pieces", "release", "running", "shared_path", "ship", "split_words", "spread_join", "steady", "stored", "text_remainder", "texts_of", "uniform", "with_row", "without_rows"]
 
@@ -121,21 +120,6 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str, by: str, m
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
 
 
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column], rows: int, cell: int = 100_000) -> DataFrame:
-    """df with, for each name, the sum of the column over all rows before (exclusive), in the given total order.
-
-    Rows are dealt by range, so a task sorts about `cell` of them; only the parts' totals meet in one window.
-    """
-    parts = max(1, -(-rows // cell))
-    placed = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "running")
-    totals = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("_part", *[F.coalesce(F.sum(f"_t_{n}").over(above), F.lit(0)).alias(f"_b_{n}") for n in sums])
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}).join(maybe_broadcast(bases), "_part")
-    return local.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop("_part", *[f"_b_{n}" for n in sums])
-
-
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of many texts (set apart by ASCII white space; A-Z in lower case): codes of all words, the distinct words
     as bytes, and how many words each text has. Null is empty."""

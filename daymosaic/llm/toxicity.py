@@ -161,7 +161,7 @@ class Examples:
         self.vectors = []
         for i in order:
             found: Counter[int] = Counter()
-            for w, n in zip(rows[i][3], rows[i][4], strict=True):
+            for w, n in zip(*(x.as_py() if isinstance(x, pa.Scalar) else x for x in rows[i][3:5]), strict=True):
                 for t in terms_of(w):
                     found[self.number.setdefault(t, len(self.number))] += n
             at = np.array(sorted(found), np.int64)
@@ -201,7 +201,10 @@ def read_examples(docs: DataFrame, chosen: DataFrame, stands: dict[int, float],
     schema = once.select("doc_id", "toxic").schema
     for name, kind in (("keys", T.LongType()), ("terms", T.StringType()), ("counts", T.LongType())):
         schema = schema.add(name, T.ArrayType(kind))
-    return Examples([tuple(r) for r in once.mapInArrow(run, schema).collect()], stands)
+    found = once.mapInArrow(run, schema).toArrow().combine_chunks()
+    ids, toxic, keys = (found.column(c).to_pylist() for c in ("doc_id", "toxic", "keys"))
+    # Words stay in Arrow's memory until an example's turn comes.
+    return Examples(list(zip(ids, toxic, keys, found.column("terms"), found.column("counts"), strict=True)), stands)
 
 
 def document_frequencies(docs: DataFrame, number: dict[str, int], text: str) -> tuple[np.ndarray, int]:
