@@ -122,8 +122,17 @@ def _with_observed_weight(rows: DataFrame) -> DataFrame:
 class AggregatedResult:
     """Descriptions and distances of one level; wide Spark tables, a column per model."""
 
-    def __init__(self, descriptions: DataFrame, distances: DataFrame, label: str = "") -> None:
-        self.descriptions, self.distances, self.label = descriptions, distances, label
+    def __init__(self, descriptions: DataFrame, distances: DataFrame, label: str = "", by: list[str] | None = None) -> None:
+        # With their weights, if the level has any; of a feature's rows the heaviest stand first.
+        self.weighed, self.label = (descriptions, distances), label
+        self.descriptions, self.distances = (self._ordered(df, by or []) for df in self.weighed)
+
+    @staticmethod
+    def _ordered(df: DataFrame, by: list[str]) -> DataFrame:
+        if tiers.WEIGHT not in df.columns:
+            return df.orderBy(*by) if by else df
+        first = [F.col(OBSERVED).desc()] if OBSERVED in df.columns else []
+        return df.orderBy(*[c for c in by if c != "segment"], F.col(tiers.WEIGHT).desc(), *first, "segment").drop(tiers.WEIGHT)
 
     def __repr__(self) -> str:
         return f"AggregatedResult [{self.label}]\n\n{self.distances.toPandas().to_string()}"
@@ -146,7 +155,8 @@ class ScheduleView:
         desc = tiers.tier(r.raw_descriptions, self._level, extra, False, r.drop_features, r.drop_groups)
         dist = tiers.tier(r.raw_distances, self._level, extra, True, r.drop_features, r.drop_groups)
         fill = 0.0 if self._level != "domains" else None
-        return AggregatedResult(tiers.wide(desc, by, [OBSERVED, *r.model_names], fill).orderBy(*by), tiers.wide(dist, by, r.model_names).orderBy(*by), f"{self._level} x {label}")
+        weighed = self._level == "features"
+        return AggregatedResult(tiers.wide(desc, by, [OBSERVED, *r.model_names], fill, weighed), tiers.wide(dist, by, r.model_names, None, weighed), f"{self._level} x {label}", by)
 
     def _split(self, extra: list[str], label: str) -> AggregatedResult:
         if not self._result.has_splits:

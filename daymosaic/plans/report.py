@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..sources.files import save_csv
 from .evaluate import EvalResult
+from .tiers import WEIGHT
 
 
 def as_text(df: DataFrame) -> str:
@@ -35,9 +36,10 @@ def models_by_rank(ranks: DataFrame) -> list[str]:
 
 
 def head(df: DataFrame, by: list[str], n: int) -> DataFrame:
-    """The first n rows (by all columns) of each group."""
-    others = [c for c in df.columns if c not in by]
-    return df.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*others))).where(F.col("_place") <= n).drop("_place")
+    """The first n rows of each group: the heaviest, if rows have weights, and then by all columns."""
+    others = [c for c in df.columns if c not in by and c != WEIGHT]
+    order = [F.col(WEIGHT).desc()] * (WEIGHT in df.columns) + [F.col(c) for c in others]
+    return df.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_place") <= n).drop("_place", WEIGHT)
 
 
 def add_stats(df: DataFrame, models: list[str]) -> DataFrame:
@@ -54,10 +56,10 @@ def report(result: EvalResult, log_dir: str | Path | None = None, first: int | N
     extra = ["label"] if splits else []
     for level, by in (("features", ["domain", "feature"]), ("groups", ["domain", "feature"]), ("domains", ["domain"])):
         got = getattr(getattr(result, level), view)
-        for name, df in (("descriptions", got.descriptions), ("distances", got.distances)):
+        for name, df, weighed in zip(("descriptions", "distances"), (got.descriptions, got.distances), got.weighed, strict=True):
             if log_dir is not None:
                 save_csv(df, f"{log_dir}/{level}_{name}.csv")
-            shown = head(df, by + extra, first) if first is not None and level == "features" else df
+            shown = head(weighed, by + extra, first) if first is not None and level == "features" else df
             out += [f"\n{level} {name}:", as_text(shown)]
         if ranking and level != "features":
             keys = by + extra

@@ -51,7 +51,13 @@ def tier(rows: DataFrame, level: str, extra: list[str], distances: bool, drop_fe
     return averaged(dropped(groups, drop_groups), ["domain", *extra])
 
 
-def wide(rows: DataFrame, by: list[str], models: list[str], fill: float | None = None) -> DataFrame:
-    """A column per model, and the unit where there is one."""
-    out = rows.groupBy(*by).agg(*[F.max(F.when(F.col("model") == m, F.col("value"))).alias(m) for m in models], *([F.max("unit").alias("unit")] if "unit" in rows.columns else []))
+#: Weight of a row of a wide table, by which rows of a feature are put in order.
+WEIGHT = "_weight"
+
+
+def wide(rows: DataFrame, by: list[str], models: list[str], fill: float | None = None, weighed: bool = False) -> DataFrame:
+    """A column per model, and the unit where there is one. weighed: also the first model's weight, or without it the greatest."""
+    unit = [F.max("unit").alias("unit")] if "unit" in rows.columns else []
+    first = F.coalesce(F.max(F.when(F.col("model") == models[0], F.col("weight"))), F.max("weight"))
+    out = rows.groupBy(*by).agg(*[F.max(F.when(F.col("model") == m, F.col("value"))).alias(m) for m in models], *unit, *([first.alias(WEIGHT)] if weighed else []))
     return out.fillna(fill, subset=models) if fill is not None else out

@@ -177,3 +177,14 @@ def test_averages_over_wide_tables(spark):
     wide = spark.createDataFrame([(1.0, 2, 3.0, 1, 4), (3.0, 6, 5.0, 3, 0)], "a double, a__weight int, b double, b__weight int, observed__weight int")
     assert report.weighted_average(wide) == {"a": 2.5, "b": 4.5}
     assert report.distance_weighted_average(wide) == pytest.approx({"a": (1 * 3 + 3 * 3) / 6, "b": (3 * 2.5 + 5 * 1.5) / 4})
+
+
+def test_heaviest_segments_stand_first(result):
+    """Rows of a feature are in the order of their observed weight, then of their description."""
+    weight = {(r["feature"], r["segment"]): r["weight"] for r in result.raw["descriptions"].where("model = 'observed'").collect()}
+    rows = result.features.combined.descriptions.collect()
+    assert [c for c in result.features.combined.descriptions.columns if c.startswith("_")] == []
+    for feature in ("start times", "participation rate"):
+        own = [(-weight[feature, r["segment"]], -r["observed"], r["segment"]) for r in rows if r["feature"] == feature]
+        assert len(own) > 2 and own == sorted(own)
+    assert [(r["domain"], r["feature"]) for r in rows] == sorted((r["domain"], r["feature"]) for r in rows)
