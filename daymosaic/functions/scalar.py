@@ -36,11 +36,15 @@ def wasserstein(rows: DataFrame, keys: list[str]) -> DataFrame:
     return points.withColumn("step", F.coalesce(step, F.lit(0.0))).groupBy(*keys).agg(F.sum("step").alias("distance"))
 
 
+def random_directions(size: int, projections: int = 100, seed: int = 0) -> np.ndarray:
+    """Unit vectors, a row each; the same for the same arguments."""
+    directions = np.random.default_rng(seed).normal(size=(projections, size))
+    return directions / np.linalg.norm(directions, axis=1, keepdims=True)
+
+
 def sliced_wasserstein(points: DataFrame, projections: int = 100, seed: int = 0) -> float:
     """Mean Wasserstein distance of two point sets over random directions; points: (side 'a' or 'b', x array<double>)."""
-    size = points.select(F.size("x")).first()[0]
-    directions = np.random.default_rng(seed).normal(size=(projections, size))
-    directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+    directions = random_directions(points.select(F.size("x")).first()[0], projections, seed)
     table = F.array(*[F.array(*[F.lit(float(c)) for c in d]) for d in directions])
     dot = lambda d: F.aggregate(F.zip_with("x", d, lambda a, b: a * b), F.lit(0.0), lambda s, c: s + c)
     spread = points.select("side", F.posexplode(F.transform(table, dot)).alias("direction", "v"))

@@ -270,7 +270,7 @@ def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
     for m in MODELS:
         points = sched.where(F.col("model").isin(OBSERVED, m)).select(F.when(F.col("model") == OBSERVED, "a").otherwise("b").alias("side"), "x")
-        rows.append((m, scalar.sliced_wasserstein(points, 16)))
+        rows.append((m, round(scalar.sliced_wasserstein(points), 9)))
     return spark.createDataFrame(rows, "model string, distance double")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.scalar import random_directions
+
 SCHED = """
 s0 AS (
   SELECT user_id, event_id, CAST(extract(day FROM ts) AS INT) AS d,
@@ -333,4 +335,14 @@ SELECT * FROM (VALUES
   ('timing', 'time consistency', 'time_consistency', 'Whether schedules start at 0, end with the day and fill it.', FALSE),
   ('sequences', 'full sequences', 'full_sequences', 'Whether each person has a sequence of activity initials.', FALSE)
 ) AS t(domain, name, config_key, description, in_default_config)""",
+    "sliced_wasserstein": f"""WITH {SCHED},
+di AS (SELECT * FROM (VALUES {", ".join(f"({k}, CAST('{x!r}' AS DOUBLE), CAST('{y!r}' AS DOUBLE))" for k, (x, y) in enumerate(random_directions(2).tolist()))}) AS t(k, dx, dy)),
+pr AS (
+  SELECT m.model, k, start_t / 1440 * dx + duration / 1440 * dy AS v, CAST(sched.model = 'observed' AS INT) AS wa, CAST(sched.model <> 'observed' AS INT) AS wb
+  FROM sched, di, (SELECT unnest(['model_a', 'model_b']) AS model) m WHERE sched.model IN ('observed', m.model)),
+gr AS (SELECT model, k, v, sum(wa) AS wa, sum(wb) AS wb FROM pr GROUP BY model, k, v),
+st AS (
+  SELECT model, k, abs(sum(wa) OVER w / sum(wa) OVER x - sum(wb) OVER w / sum(wb) OVER x) * (lead(v) OVER w - v) AS step
+  FROM gr WINDOW w AS (PARTITION BY model, k ORDER BY v), x AS (PARTITION BY model, k))
+SELECT model, round(avg(d), 9) AS distance FROM (SELECT model, k, sum(step) AS d FROM st GROUP BY model, k) q GROUP BY model""",
 }

@@ -11,7 +11,7 @@ from daymosaic.plans.sql import SQL
 from .conftest import same_rows
 
 #: One of each kind; the rest differ in a feature's name only.
-SOME = ["schedule_view", "pair_participation_hist", "ngram_min_count", "joint_duration_hist2d", "time_consistency", "emd1d_start", "emd1d_ngram4", "feasibility_novel", "creativity_distances", "filter_novel", "split_numeric_bins", "split_by_category", "domains_tier_novel", "rank_groups", "activity_density", "time_use", "sequence_probs", "feature_catalogue", "scalar_distances", "pairwise_default", "pairwise_chamfer"]
+SOME = ["schedule_view", "pair_participation_hist", "ngram_min_count", "joint_duration_hist2d", "time_consistency", "emd1d_start", "emd1d_ngram4", "feasibility_novel", "creativity_distances", "filter_novel", "split_numeric_bins", "split_by_category", "domains_tier_novel", "rank_groups", "activity_density", "time_use", "sequence_probs", "feature_catalogue", "sliced_wasserstein", "scalar_distances", "pairwise_default", "pairwise_chamfer"]
 
 
 @pytest.mark.parametrize("name", SOME)
