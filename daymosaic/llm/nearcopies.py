@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import maybe_broadcast, pieces, ship, spread_join, steady, stored, texts_of, with_row, without_rows
+from .common import maybe_broadcast, pieces, release, ship, spread_join, steady, stored, texts_of, with_row, without_rows
 from .simhash import cell_edges, cells, components, distance, thirds, whole_cells
 
 SEED, SHINGLE, LEAST = 42, 5, 0.8
@@ -72,10 +72,35 @@ def marks(docs: DataFrame, key: str, text: str) -> DataFrame:
                 node = pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], pa.int64())
                 prints = pa.array([prints_of(s) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, pa.array([len(s) for s in sets], pa.int64()), prints], names=["row", "doc_id", "node", "size", "prints"])
+        release()
 
     return slim.mapInArrow(run, slim.drop("text").schema.add("node", "long").add("size", "long").add("prints", T.ArrayType(T.LongType())))
 
 
+def spanning(edges: np.ndarray) -> np.ndarray:
+    """Which of the edges (cell, smaller, larger), sorted, make a spanning forest of each cell; those of small nodes first."""
+    keep = np.ones(edges.shape[1], bool)
+    cells_, count = np.unique(edges[0], return_counts=True)
+    several = np.flatnonzero(np.repeat(count > 1, count))
+    parent: dict[int, int] = {}
+    last = None
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    for i, cell, a, b in zip(several.tolist(), *edges[:, several].tolist(), strict=True):
+        if cell != last:
+            parent, last = {}, cell
+        a, b = root(a), root(b)
+        if a == b:
+            keep[i] = False
+        else:
+            parent[max(a, b)] = min(a, b)
+    return keep
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
     """(tree, u, v): edges of the forests of candidates in the index's cells; tree names the cell's forest."""
     kinds = len(thirds(CUT))
@@ -84,16 +109,19 @@ def candidates(nodes: DataFrame) -> DataFrame:
         task, count = TaskContext.get().partitionId(), 0
         for kind, cell, own, following, node in whole_cells(batches):
             near = lambda a, b, x=own, y=following: (distance(x[a], x[b]) <= RADIUS) & (distance(y[a], y[b]) <= NEXT)
-            found = list(cell_edges(kind, cell, own, CUT, near))
+            found = list(cell_edges(kind, cell, own, CUT, near, node))
             if not found:
                 continue
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             # All edges of a cell are one tree, whatever the bit that was left out.
             number = np.cumsum(np.concatenate([[0], (kind[1:] != kind[:-1]) | (cell[1:] != cell[:-1])]))[a]
-            edges = np.unique(np.stack([number, np.maximum(node[a], node[b]), np.minimum(node[a], node[b])]), axis=1)
+            edges = np.unique(np.stack([number, np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
+            # The same few links for a group in all its cells, so that few pairs are left when they are made distinct.
+            edges = edges[:, spanning(edges)]
             trees = (task << 40) + count + edges[0]
             count += int(number.max()) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(trees), pa.array(edges[1]), pa.array(edges[2])], names=["tree", "u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(trees), pa.array(edges[2]), pa.array(edges[1])], names=["tree", "u", "v"])
+        release()
 
     def entries(i: int) -> list[Column]:
         own, following = F.col("prints")[i], F.col("prints")[(i + 1) % PRINTS]
@@ -113,6 +141,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
             for b in pieces(batch, 1):
                 hashes = [shingles(x).view(np.int64) for x in texts_of(b, 1)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["node", "hashes"])
+        release()
 
     return stored(slim.mapInArrow(run, "node long, hashes array<long>"), "sets")
 

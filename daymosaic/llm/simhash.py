@@ -100,11 +100,18 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def forest(members: np.ndarray, prints: np.ndarray, near: Near) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges (numbers of members) of a spanning forest of the graph of near ones. Starts at the print nearest the middle."""
+def forest(members: np.ndarray, prints: np.ndarray, near: Near, rank: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges (numbers of members) of a spanning forest of the graph of near ones. Starts at the least rank, or without ranks
+    at the print nearest the middle."""
+    if rank is not None:
+        return _grown(members[np.argsort(rank[members], kind="stable")], near)
     bits = np.unpackbits(prints[members].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
     middle = np.packbits(2 * bits > len(members), bitorder="little").view("<i8")[0]
-    rest = members[np.argsort(distance(prints[members], middle), kind="stable")]
+    return _grown(members[np.argsort(distance(prints[members], middle), kind="stable")], near)
+
+
+def _grown(rest: np.ndarray, near: Near) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Trees grown from the first of those that are left."""
     out = []
     while rest.size:
         front, rest = [rest[:1]], rest[1:]
@@ -122,7 +129,7 @@ def forest(members: np.ndarray, prints: np.ndarray, near: Near) -> list[tuple[np
     return out
 
 
-def cut_again(members: np.ndarray, prints: np.ndarray, mask: int, radius: int, near: Near) -> list[tuple[np.ndarray, np.ndarray]]:
+def cut_again(members: np.ndarray, prints: np.ndarray, mask: int, radius: int, near: Near, rank: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Forests of a large bucket's parts: the scheme once more, over the bits outside the bucket's segment."""
     others = [b for b in range(64) if not mask >> b & 1]
     out = []
@@ -133,18 +140,18 @@ def cut_again(members: np.ndarray, prints: np.ndarray, mask: int, radius: int, n
             order = np.argsort(keys, kind="stable")
             for start, n in zip(*runs_of(keys[order]), strict=True):
                 if n > 1:
-                    out += forest(members[order[start : start + n]], prints, near)
+                    out += forest(members[order[start : start + n]], prints, near, rank)
     return out
 
 
-def bucket_edges(keys: np.ndarray, prints: np.ndarray, mask: int, radius: int, near: Near) -> list[tuple[np.ndarray, np.ndarray]]:
+def bucket_edges(keys: np.ndarray, prints: np.ndarray, mask: int, radius: int, near: Near, rank: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Edges (numbers of rows) between near rows of equal keys, enough to connect them."""
     order = np.argsort(keys, kind="stable")
     starts, sizes = runs_of(keys[order])
     out = []
     for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
         members = order[s : s + n]
-        out += forest(members, prints, near) if n <= LARGE else cut_again(members, prints, mask, radius, near)
+        out += forest(members, prints, near, rank) if n <= LARGE else cut_again(members, prints, mask, radius, near, rank)
     few = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
     rows, k = order[few], keys[order[few]]
     for step in range(1, SMALL):
@@ -157,7 +164,7 @@ def bucket_edges(keys: np.ndarray, prints: np.ndarray, mask: int, radius: int, n
     return out
 
 
-def cell_edges(kinds: np.ndarray, places: np.ndarray, prints: np.ndarray, radius: int, near: Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def cell_edges(kinds: np.ndarray, places: np.ndarray, prints: np.ndarray, radius: int, near: Near, rank: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges (numbers of rows) within cells, for every kind and bit of the third that is left out. Rows are sorted by cell."""
     shapes = thirds(radius)
     for kind in np.unique(kinds).tolist():
@@ -171,8 +178,8 @@ def cell_edges(kinds: np.ndarray, places: np.ndarray, prints: np.ndarray, radius
         third = (prints[rows] >> at) & ((1 << n) - 1)
         for j in range(n):
             keys = (number << n) | (third & ~(1 << j))
-            local = prints[rows]
-            for a, b in bucket_edges(keys, local, mask, radius, lambda x, y, rows=rows: near(rows[x], rows[y])):
+            local, own = prints[rows], None if rank is None else rank[rows]
+            for a, b in bucket_edges(keys, local, mask, radius, lambda x, y, rows=rows: near(rows[x], rows[y]), own):
                 yield rows[a], rows[b]
 
 

@@ -162,20 +162,23 @@ class ChunkCache:
 _caches: dict[str, ChunkCache] = {}
 
 
-def cache_for(path: str) -> ChunkCache:
-    if path not in _caches:
-        _caches[path] = ChunkCache(path)
+def cache_for(path: str, most: int = CACHE) -> ChunkCache:
+    if path not in _caches or _caches[path].most != most:
+        _caches[path] = ChunkCache(path, most)
     return _caches[path]
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stored table of (doc_id, ids) rows and of (token, count) rows. ids: zstd-compressed, unsigned 32 bits each."""
+def tokenise(docs: DataFrame, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text", remember: int = CACHE) -> DataFrame:
+    """Stored table of (doc_id, ids) rows and of (token, count) rows. ids: zstd-compressed, unsigned 32 bits each.
+
+    remember: chunks that a worker keeps; fewer take less memory and more time.
+    """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        cache, pack = cache_for(tokenizer), zstandard.ZstdCompressor(level=1).compress
+        cache, pack = cache_for(tokenizer, remember), zstandard.ZstdCompressor(level=1).compress
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for b in pieces(batch, 1, 2 << 20):
@@ -336,10 +339,10 @@ class TokenFile:
         return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text") -> int:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, key: str = "doc_id", text: str = "text", remember: int = CACHE) -> int:
     """Write the files (path/files) and the shared table (path/table). Returns how many tokens there are."""
     spark = docs.sparkSession
-    table_rows = tokenise(docs, tokenizer, end, key, text)
+    table_rows = tokenise(docs, tokenizer, end, key, text, remember)
     # One row per token id at most, so the driver's share is bounded by the vocabulary.
     found = table_rows.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy("token").toArrow()
     tokens, counts = found.column(0).to_numpy(), found.column(1).to_numpy()
@@ -406,11 +409,11 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return contents.mapInArrow(run, schema)
 
 
-def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, path: str | None = None, key: str = "doc_id", text: str = "text", remember: int = CACHE) -> DataFrame:
     """Write docs to path (default: a fresh shared folder), read the files back: (doc_id, start, n_tokens, ids_crc32)."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")
-    write_tokens(docs, path, tokenizer, key=key, text=text)
+    write_tokens(docs, path, tokenizer, key=key, text=text, remember=remember)
     read = stored(read_tokens(spark, path), "read")
     files = file_starts(stored(read.groupBy("ordinal").agg(F.sum("n_tokens").alias("n")), "files"))
     return read.join(maybe_broadcast(files), "ordinal").select("doc_id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")

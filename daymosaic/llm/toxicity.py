@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, ship, steady, stored, text_remainder, uniform, with_row, without_rows
+from .common import pieces, release, ship, steady, stored, text_remainder, uniform, with_row, without_rows
 
 #: Bounds of the fitted sample.
 MOST_TOXIC, MOST_CLEAN = 1_000, 2_000
@@ -46,7 +46,7 @@ FIRST = 6
 #: A term that one example in so many holds has a whole list.
 WHOLE = 16
 #: Documents whose whole lists are multiplied at once, words whose numbers a worker remembers.
-BATCH, REMEMBERED = 256, 200_000
+BATCH, REMEMBERED = 256, 50_000
 THRESHOLD = 0.7
 
 
@@ -222,6 +222,7 @@ def document_frequencies(docs: DataFrame, number: dict[str, int], text: str) ->
         df[-1] = total
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(df[found])], names=["term", "n"])
+        release()
 
     parts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "term long, n long")
     found = parts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per word of the examples at most
@@ -374,6 +375,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3,
                 cuts = np.cumsum(sizes)[:-1]
                 scores, evidence = model.scores(list(zip(np.split(at, cuts), np.split(tf, cuts), strict=True)))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([[ids[i] for i in e] for e in evidence], pa.list_(b.schema.field(1).type))], names=["row", "doc_id", "score", "evidence"])
+        release()
 
     schema = slim.select("row", "doc_id").schema.add("score", "double").add("evidence", T.ArrayType(slim.schema["doc_id"].dataType))
     return slim.mapInArrow(run, schema)
