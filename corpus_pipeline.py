@@ -30,7 +30,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write token files, read them back: doc_id, start, n_tokens, ids_crc32 of each document of the mix."""
-    return tokenout.token_output(docs, tokenout.default_tokenizer())
+    # Executors still hold what earlier stages made them take, so workers remember less than op2's.
+    return tokenout.token_output(docs, tokenout.default_tokenizer(), remember=100_000)
 
 
 STAGES = [
