@@ -51,7 +51,7 @@ END = 0
 
 
 def shape(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % SHAPES
+    return zlib.crc32(word[-3:]) % SHAPES
 
 
 def count_words(training: DataFrame, text: str) -> DataFrame:
@@ -130,6 +130,11 @@ class Vocabulary:
         return unit, place
 
 
+def sorting(keys: np.ndarray, below: int) -> np.ndarray:
+    """Stable order of numbers below a bound; small ones are sorted by digits."""
+    return np.argsort(keys.astype(np.uint16) if below <= 1 << 16 else keys, kind="stable")
+
+
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, starts and ends of the runs of equal keys."""
     starts = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
@@ -158,15 +163,15 @@ class Model:
         return m
 
     def vectors(self, context: np.ndarray) -> np.ndarray:
-        h = self.r[context[:, 0]] * self.c[0]
+        h = np.take(self.r, context[:, 0], axis=0) * self.c[0]
         for j in range(1, CONTEXT):
-            h += self.r[context[:, j]] * self.c[j]
+            h += np.take(self.r, context[:, j], axis=0) * self.c[j]
         return h
 
     def log10_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target unit: of its class over all classes, times of the unit over all units of the class."""
         group = self.class_of[target]
-        order = np.argsort(group, kind="stable")
+        order = sorting(group, len(self.first))
         h, target, group = self.vectors(context[order]), target[order], group[order]
         out = _own_log(h @ self.p.T + self.a, group).astype(float)
         for k, i, j in zip(*runs(group), strict=True):
@@ -180,9 +185,13 @@ class Model:
 
 def _own_log(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Logarithm of each row's softmax at its own column; scores are overwritten."""
-    scores -= scores.max(1, keepdims=True)
     mine = scores[np.arange(len(own)), own]
-    return mine - np.log(np.exp(scores, out=scores).sum(1))
+    top = scores.max(initial=0)
+    if top > 60 or scores.min(initial=0) < -60:  # else no exponential overflows, nor all of a row vanish
+        peak = scores.max(1)
+        scores -= peak[:, None]
+        mine -= peak
+    return mine - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype))
 
 
 def noise_of(unit_counts: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +215,10 @@ def contexts(units: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sigma(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+    x = np.clip(x, -30, 30)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -224,16 +236,19 @@ class Trainer:
 
     def _update(self, name: str, grad: np.ndarray, n: int, rows: np.ndarray | slice = slice(None)) -> None:
         past, p = getattr(self.sums, name), getattr(self.m, name)
-        grad = grad / np.float32(np.sqrt(n))
-        past[rows] += grad * grad
-        p[rows] -= RATE * grad / np.sqrt(past[rows])
-
-    @staticmethod
-    def _by_row(index: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
+        grad *= np.float32(1 / np.sqrt(n))
+        seen = grad * grad
+        seen += past[rows] if isinstance(rows, slice) else np.take(past, rows, axis=0)
+        past[rows] = seen
+        grad *= np.float32(RATE)
+        grad /= np.sqrt(seen, out=seen)
+        p[rows] -= grad
+
+    def _by_row(self, index: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
         """Distinct rows, and the sums of each gradient for them."""
-        order = np.argsort(index, kind="stable")
+        order = sorting(index, len(self.m.r))
         rows, starts, _ = runs(index[order])
-        return rows, *[np.add.reduceat(g[order], starts, axis=0) for g in grads]
+        return rows, *[np.add.reduceat(np.take(g, order, axis=0), starts, axis=0) for g in grads]
 
     def noise_units(self, classes: np.ndarray) -> np.ndarray:
         """INSIDE units of each class, by their unigram in it."""
@@ -245,45 +260,52 @@ class Trainer:
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         m, n = self.m, len(target)
         group = m.class_of[target]
-        order = np.argsort(group, kind="stable")
+        order = sorting(group, len(m.first))
         context, target, group = context[order], target[order], group[order]
-        rows = [m.r[context[:, j]] for j in range(CONTEXT)]
-        h = sum(x * c for x, c in zip(rows, m.c, strict=True))
+        rows = [np.take(m.r, context[:, j], axis=0) for j in range(CONTEXT)]
+        h = rows[0] * m.c[0]
+        for x, c in zip(rows[1:], m.c[1:], strict=True):
+            h += x * c
         # d loss / d score: sigma(score - log(k * noise)) - 1 for what is there, sigma(...) for noise.
         noise = np.minimum(np.searchsorted(self.class_cdf, self.rng.random(NOISE)), len(self.class_cdf) - 1)
-        own, others = m.p[group], m.p[noise]
+        own, others = np.take(m.p, group, axis=0), m.p[noise]
         e = _sigma(m.a[group] + np.einsum("ij,ij->i", h, own) - self.log_class[group]) - 1
-        f = _sigma(m.a[noise] + h @ others.T - self.log_class[noise])
-        dh = e[:, None] * own + f @ others
+        f = _sigma(h @ others.T + (m.a[noise] - self.log_class[noise]))
+        own *= e[:, None]
+        dh = f @ others
+        dh += own
         dp, da = np.zeros_like(m.p), np.zeros_like(m.a)
         names, starts, ends = runs(group)
-        dp[names], da[names] = np.add.reduceat(e[:, None] * h, starts, axis=0), np.add.reduceat(e, starts)
+        for k, i, j in zip(names, starts, ends, strict=True):
+            dp[k] = e[i:j] @ h[i:j]
+        da[names] = np.add.reduceat(e, starts)
         np.add.at(dp, noise, f.T @ h)
         np.add.at(da, noise, f.sum(0))
-        inner = np.flatnonzero(m.first[names + 1] - m.first[names] > 1)
-        if len(inner):
-            names, starts, ends = names[inner], starts[inner], ends[inner]
+        # The end is a class of one unit and stands first.
+        z = int(ends[0]) if m.first[names[0] + 1] - m.first[names[0]] == 1 else 0
+        if z < n:
+            names, starts, ends = (x[1:] if z else x for x in (names, starts - z, ends - z))
+            hz, dz, inner = h[z:], dh[z:], target[z:]
             drawn = self.noise_units(names)
-            near, vectors = m.q[target], m.q[drawn]
-            has = np.zeros(n, bool)
-            for i, j in zip(starts, ends, strict=True):
-                has[i:j] = True
-            g = np.where(has, _sigma(m.b[target] + np.einsum("ij,ij->i", h, near) - self.log_inside[target]) - 1, 0).astype(np.float32)
-            s = np.zeros((n, INSIDE), np.float32)
-            for v, d, i, j in zip(vectors, drawn, starts, ends, strict=True):
-                s[i:j] = h[i:j] @ v.T + (m.b[d] - self.log_inside[d])
-            s = np.where(has[:, None], _sigma(s), 0).astype(np.float32)
+            near, vectors = np.take(m.q, inner, axis=0), m.q[drawn]
+            bias = m.b[drawn] - self.log_inside[drawn]
+            s = np.empty((n - z, INSIDE), np.float32)
+            for v, d, i, j in zip(vectors, bias, starts, ends, strict=True):
+                np.matmul(hz[i:j], v.T, out=s[i:j])
+                s[i:j] += d
+            s = _sigma(s)
+            g = _sigma(m.b[inner] + np.einsum("ij,ij->i", hz, near) - self.log_inside[inner]) - 1
+            near *= g[:, None]
+            dz += near
             dn = np.empty_like(vectors)
-            dh += g[:, None] * near
             for k, (v, i, j) in enumerate(zip(vectors, starts, ends, strict=True)):
-                dh[i:j] += s[i:j] @ v
-                dn[k] = s[i:j].T @ h[i:j]
-            db = np.add.reduceat(s, starts, axis=0) if has.all() else np.stack([s[i:j].sum(0) for i, j in zip(starts, ends, strict=True)])
-            touched, dq, db = self._by_row(np.concatenate([target[has], drawn.ravel()]), np.concatenate([(g[:, None] * h)[has], dn.reshape(-1, WIDTH)]), np.concatenate([g[has], db.ravel()]))
+                dz[i:j] += s[i:j] @ v
+                dn[k] = s[i:j].T @ hz[i:j]
+            touched, dq, db = self._by_row(np.concatenate([inner, drawn.ravel()]), np.concatenate([g[:, None] * hz, dn.reshape(-1, WIDTH)]), np.concatenate([g, np.add.reduceat(s, starts, axis=0).ravel()]))
             self._update("q", dq, n, touched)
             self._update("b", db, n, touched)
         dc = np.stack([np.einsum("ij,ij->j", dh, x) for x in rows])
-        touched, dr = self._by_row(context.T.ravel(), np.concatenate([dh * c for c in m.c]))
+        touched, dr = self._by_row(context.T.ravel(), (dh[None] * m.c[:, None]).reshape(-1, WIDTH))
         self._update("r", dr, n, touched)
         for name, grad in (("p", dp), ("a", da), ("c", dc)):
             self._update(name, grad, n)
