@@ -7,9 +7,9 @@ print by at most RADIUS bits and the next print by at most NEXT. At a similarity
 with a probability of some 0.98, at 0.85 of 0.998 (README: measured). Links are then decided on the whole sets of shingle hashes.
 
 Texts with equal sets are one node first. A cell of the index emits spanning forests of its candidates, so a large group of
-copies costs its size, not its square. Where a forest's links turn out to be less similar, so that its members are left
-in several components, the pairs of that forest that are candidates and still apart are compared as well; so each
-candidate pair is either linked through others or tested.
+copies costs its size, not its square. What candidates connect is a family. Where a family's links turn out to be less
+similar, so that its members are left in several components, pairs between these are found by a prefix filter over whole
+sets, which loses none; so each pair of a family is either linked through others, ruled out or tested.
 
 Defined cases: null and wordless texts have the same empty set; texts shorter than a shingle are one shingle; letters
 A-Z are lower-cased and words are set apart by ASCII white space, as in simhash; a node is the 64-bit hash of its set.
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import discard, made
 from .common import maybe_broadcast, pieces, release, ship, spread_join, steady, stored, texts_of, with_row, without_rows
 from .simhash import cell_edges, cells, components, distance, thirds, whole_cells
 
@@ -34,6 +34,8 @@ SEED, SHINGLE, LEAST = 42, 5, 0.8
 PRINTS, RADIUS, NEXT = 8, 12, 18
 #: Segments are cut as for this radius: three of 21 or 22 bits.
 CUT = 4
+#: Ratio of the bounds of a class of sizes.
+STEP = 1.05
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -102,11 +104,10 @@ def spanning(edges: np.ndarray) -> np.ndarray:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(tree, u, v): edges of the forests of candidates in the index's cells; tree names the cell's forest."""
+    """(u, v): edges of the forests of candidates in the index's cells."""
     kinds = len(thirds(CUT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count = TaskContext.get().partitionId(), 0
         for kind, cell, own, following, node in whole_cells(batches):
             near = lambda a, b, x=own, y=following: (distance(x[a], x[b]) <= RADIUS) & (distance(y[a], y[b]) <= NEXT)
             found = list(cell_edges(kind, cell, own, CUT, near, node))
@@ -118,9 +119,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
             edges = np.unique(np.stack([number, np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]), axis=1)
             # The same few links for a group in all its cells, so that few pairs are left when they are made distinct.
             edges = edges[:, spanning(edges)]
-            trees = (task << 40) + count + edges[0]
-            count += int(number.max()) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(trees), pa.array(edges[2]), pa.array(edges[1])], names=["tree", "u", "v"])
+            edges = np.unique(edges[1:], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[1]), pa.array(edges[0])], names=["u", "v"])
         release()
 
     def entries(i: int) -> list[Column]:
@@ -129,7 +129,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
     each = [e for i in range(PRINTS) for e in entries(i)]
     met = nodes.select(F.explode(F.array(*each)).alias("c"), "node").select("c.*", "node")
-    return met.repartition("kind", "cell").sortWithinPartitions("kind", "cell").mapInArrow(run, "tree long, u long, v long")
+    return met.repartition("kind", "cell").sortWithinPartitions("kind", "cell").mapInArrow(run, "u long, v long")
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, text: str) -> DataFrame:
@@ -160,33 +160,78 @@ def fitting(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(F.least("u_size", "v_size") >= F.lit(least) * F.greatest("u_size", "v_size")).select("u", "v")
 
 
-def near_links(nodes: DataFrame, sets: DataFrame, trees: DataFrame, least: float) -> DataFrame:
-    """Distinct (u, v) of similar nodes, enough to connect what all similar candidates would."""
-    first = stored(similar(fitting(trees.select("u", "v").distinct(), nodes, least), sets, least), "near")
-    roots = components(first).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    members = stored(trees.select("tree", F.explode(F.array("u", "v")).alias("node")).distinct(), "members")
-    own = spread_join(members, stored(roots, "roots"), "node", "left", "tree").withColumn("root", F.coalesce("root", "node"))
-    own = stored(own, "own")
-    split = own.groupBy("tree").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("tree")
-    apart = stored(own.join(split, "tree").join(nodes.select("node", "size", "prints"), "node"), "apart")
-    other = apart.select("tree", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "size", "prints")])
-    differ = F.zip_with("prints", "other_prints", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    met = apart.join(other, "tree").where("root < other_root").where(F.least("size", "other_size") >= F.lit(least) * F.greatest("size", "other_size"))
-    met = met.withColumn("differ", differ).where(F.exists("differ", lambda d: d <= RADIUS))
-    second = met.select(F.greatest("node", "other_node").alias("u"), F.least("node", "other_node").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    return first.unionByName(similar(second, sets, least)).distinct()
+def near_links(nodes: DataFrame, sets: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """Distinct (u, v) of similar nodes, enough to connect what all similar pairs of a family would."""
+    # A node's edge to the neighbour with most edges is tested first; then the others that still lie between components.
+    ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degrees = stored(ways.groupBy("v").agg(F.count("*").alias("n")), "degrees")
+    hubs = spread_join(ways, degrees, "v", "inner", "u").groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
+    few = stored(hubs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "few")
+    first = stored(similar(fitting(few, nodes, least), sets, least), "near")
+    stars = components(first)
+    rest = rooted(rooted(edges.join(few, ["u", "v"], "left_anti"), stars, "u"), stars, "v").where("u_root <> v_root").select("u", "v")
+    linked = stored(first.unionByName(similar(fitting(rest, nodes, least), sets, least)), "near")
+    families, roots = components(edges), components(linked)
+    members = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    own = stored(rooted(rooted(members, families, "node", "family"), roots, "node", "root"), "own")
+    most = own.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n"))
+    split = stored(spread_join(own, stored(most.where("n > 1").select("family", "main"), "split"), "family", "inner", "node"), "apart")
+    return linked.unionByName(similar(stored(alike(split, sets, least), "alike"), sets, least)).distinct()
+
+
+def rooted(rows: DataFrame, stars: DataFrame, node: str, name: str | None = None) -> DataFrame:
+    """rows with the mark of the component of their column `node`: itself, if components (u, v) don't have it."""
+    name = name or f"{node}_root"
+    marks = stars.select(F.col("u").alias(node), F.col("v").alias(name))
+    by = "v" if node == "u" and "v" in rows.columns else "u" if node == "v" and "u" in rows.columns else node
+    return spread_join(rows, marks, node, "left", by).withColumn(name, F.coalesce(name, node))
+
+
+def alike(own: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Distinct (u, v), u > v, of nodes of one family and different roots that may be similar; all that are, are among them.
+
+    own (node, family, root, main): main is the family's largest component. Prefix filter: put the hashes of all sets in one
+    order, then sets that share enough have their first common hash early in both. Hashes that only one component holds
+    come first and can't be common, the others by how many sets hold them. How early depends on both sizes, so a set has
+    a prefix for each class of partners' sizes.
+    """
+    held = own.join(sets, "node")
+    of = held.select("node", "root", F.explode("hashes").alias("hash"))
+    shared = of.groupBy("hash").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hash", "n")
+    lists = of.select("node", "hash").join(shared, "hash").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "hash"))).alias("shared"))
+    sizes = stored(held.select("node", "family", "root", "main", F.size("hashes").alias("size")), "sizes")
+    size_class = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(STEP)) + 1e-9)
+    enough = lambda a, b: F.ceil(F.lit(least / (1 + least)) * (a + b) - 1e-9)
+    size = F.col("size")
+    rows = sizes.join(lists, "node").withColumn("free", size - F.size("shared")).withColumn("own", size_class(size))
+    rows = rows.withColumn("other", F.explode(F.sequence(size_class(F.greatest(F.lit(1), size * F.lit(least))) - 1, size_class(size / F.lit(least)) + 1)))
+    smallest = F.greatest(F.floor(F.pow(F.lit(STEP), F.col("other")) - 1e-6), F.ceil(size * F.lit(least) - 1e-9))
+    rows = rows.withColumn("take", (size - enough(size, smallest) + 1 - F.col("free")).cast("int")).where("take > 0")
+    rows = rows.select("family", "node", "root", "main", "size", "own", "other", "free", F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("at", "x"))
+    rows = stored(rows.select("family", "node", "root", "main", "size", "own", "other", (size - F.col("free") - F.col("at")).alias("rest"), F.col("x.hash").alias("hash")), "prefixes")
+    # Of two components one isn't the main one; two others meet once.
+    a = rows.alias("a")
+    b = rows.where("root <> main").drop("main").alias("b")
+    same = [F.col(f"a.{x}") == F.col(f"b.{y}") for x, y in (("family", "family"), ("hash", "hash"), ("own", "other"), ("other", "own"))]
+    both = lambda f, name: f(f"a.{name}", f"b.{name}")
+    fits = (F.col("a.root") != F.col("b.root")) & ((F.col("a.root") == F.col("a.main")) | (F.col("a.root") < F.col("b.root"))) & (both(F.least, "size") >= F.lit(least) * both(F.greatest, "size")) & (both(F.least, "rest") >= enough(F.col("a.size"), F.col("b.size")))
+    met = a.join(b, [*same, fits])
+    return met.select(both(F.greatest, "node").alias("u"), both(F.least, "node").alias("v")).distinct()
 
 
 def drop_near_copies(docs: DataFrame, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component of the links: that of the smallest doc_id (nulls last)."""
     docs = steady(docs)
+    since = made()
     rows = stored(marks(docs, key, text), "marks")
     nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("prints").alias("prints")), "nodes")
-    trees = stored(candidates(nodes.where("size > 0")), "trees")
-    named = trees.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    edges = stored(candidates(nodes.where("size > 0")).distinct(), "edges")
+    named = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = sets_of(docs, stored(nodes.join(named, "node").select("row", "node"), "named"), text)
-    roots = stored(components(near_links(nodes, sets, trees, least)).select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
+    roots = stored(components(near_links(nodes, sets, edges, least)).select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
     groups = stored(spread_join(rows.select("row", "doc_id", "node"), roots, "node", "left", "row").select("row", "doc_id", F.coalesce("root", "node").alias("root")), "rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
     kept = groups.groupBy("root").agg(best.alias("row")).select("row")
-    return without_rows(docs, stored(groups.select("row").join(kept, "row", "left_anti"), "dropped"))
+    dropped = stored(groups.select("row").join(kept, "row", "left_anti"), "dropped")
+    discard(docs.sparkSession, since, made() - 1)
+    return without_rows(docs, dropped)

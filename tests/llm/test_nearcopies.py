@@ -69,3 +69,18 @@ def test_odd_texts_and_large_groups(spark, docs_of):
 
 def test_empty(spark, docs_of):
     assert nearcopies.drop_near_copies(docs_of([(1, "a")]).limit(0)).count() == 0
+
+
+def test_a_large_group_is_not_compared_in_pairs(spark, docs_of, monkeypatch):
+    """Copies of one text that are less similar than 0.8 to each other, and some that are not."""
+    rng, base, docs = random.Random(3), [f"b{i}" for i in range(150)], []
+    for i in range(500):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 5, 6, 7])):
+            copy[at] = f"u{i}x{at}"
+        docs.append((i, " ".join(copy)))
+    tested, similar = [], nearcopies.similar
+    monkeypatch.setattr(nearcopies, "similar", lambda pairs, *rest: tested.append(pairs.count()) or similar(pairs, *rest))
+    kept = sorted(r["doc_id"] for r in nearcopies.drop_near_copies(docs_of(docs)).collect())
+    assert kept == brute(docs)[0] and 100 < len(kept) < 400
+    assert sum(tested) < 20 * len(docs)  # there are 124,750 pairs
