@@ -45,12 +45,12 @@ NEIGHBOURS, BLOCK, PRIOR = 15, 32, 0.5
 FIRST = 6
 #: A term that one example in so many holds has a whole list.
 WHOLE = 16
-#: Documents whose whole lists are multiplied at once, words whose numbers a worker remembers.
-BATCH, REMEMBERED = 256, 50_000
+#: Documents whose whole lists are multiplied at once, bytes of texts whose words are looked up at once.
+BATCH, TOGETHER = 256, 2 << 20
 THRESHOLD = 0.7
 
 
-def words_in(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Codes of all words of many texts, the distinct words, and how many words each text has. Null is empty."""
     texts = pc.fill_null(texts, "")
     try:
@@ -59,14 +59,20 @@ def words_in(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         fixed = pa.array([x.decode("utf-8", "replace") for x in texts.cast(pa.binary()).to_pylist()])
         lists = pc.split_pattern_regex(pc.utf8_lower(fixed), r"[^\p{L}]+")
     coded = lists.flatten().dictionary_encode()
-    words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
     sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
     empty = pc.index(coded.dictionary, "").as_py()
     if empty >= 0:  # stands before and after other characters at a text's ends
         keep = codes != empty
         sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
         codes = codes[keep]
-    return codes, words, sizes
+    return codes, coded.dictionary, sizes
+
+
+def words_in(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """coded_words with the words as a list."""
+    codes, words, sizes = coded_words(texts)
+    return codes, words.to_pylist(), sizes
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -74,28 +80,33 @@ def terms_of(word: str) -> tuple[str, ...]:
     return (word,) + ((word[:4] + "*",) if len(word) > 4 else ()) + ((word[:5] + "*",) if len(word) > 5 else ())
 
 
-class Numbered(dict):
-    """Numbers of a word's terms (-1: unknown), remembered for some words."""
+class Numbered:
+    """Numbers of words' terms: the word, its first four and five letters. Looked up for many words at once."""
 
     def __init__(self, number: dict[str, int]) -> None:
-        super().__init__()
-        self.number = number
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > REMEMBERED:
-            self.clear()
-        get, n = self.number.get, len(word)
-        found = get(word, -1), get(word[:4] + "*", -1) if n > 4 else -1, get(word[:5] + "*", -1) if n > 5 else -1
-        self[word] = found
-        return found
+        self.total, self.sets = len(number), []
+        for letters in (0, 4, 5):
+            own = [t for t in number if (len(t) == letters + 1 if t.endswith("*") else not letters)]
+            self.sets.append((letters, pa.array([t.removesuffix("*") for t in own], pa.string()), np.array([number[t] for t in own] + [-1], np.int64)))
+
+    def of(self, words: pa.Array) -> np.ndarray:
+        """[words, 3]; -1: unknown, or the word is no longer than that."""
+        out, sizes = np.empty((len(words), 3), np.int64), pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        for i, (letters, own, numbers) in enumerate(self.sets):
+            some = words
+            if letters:  # many words begin alike
+                coded = pc.utf8_slice_codeunits(words, 0, letters).dictionary_encode()
+                some = coded.dictionary
+            found = numbers[pc.fill_null(pc.index_in(some, own), -1).to_numpy(zero_copy_only=False)]
+            out[:, i] = np.where(sizes > letters, found[coded.indices.to_numpy()], -1) if letters else found
+        return out
 
 
 def counted(texts: pa.Array, known: Numbered) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the known terms of each text, ascending, how often they occur, and how many there are per text."""
-    codes, words, sizes = words_in(texts)
-    number = known.number
-    numbers = np.array([known[w] for w in words], np.int64).reshape(-1, 3)[codes]
-    width = max(1, len(number))
+    codes, words, sizes = coded_words(texts)
+    numbers = known.of(words)[codes]
+    width = max(1, known.total)
     keys = (np.repeat(np.arange(len(sizes)), sizes) * width)[:, None] + numbers
     pairs, tf = np.unique(keys[numbers >= 0], return_counts=True)
     return pairs % width, tf, np.bincount(pairs // width, minlength=len(sizes))
@@ -209,13 +220,13 @@ def read_examples(docs: DataFrame, chosen: DataFrame, stands: dict[int, float],
 
 def document_frequencies(docs: DataFrame, number: dict[str, int], text: str) -> tuple[np.ndarray, int]:
     """In how many documents each word occurs, and how many documents there are."""
-    sent = docs.sparkSession.sparkContext.broadcast(number)
+    sent, terms = docs.sparkSession.sparkContext.broadcast(Numbered(number)), len(number)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = Numbered(sent.value), 0
-        df = np.zeros(len(known.number) + 1, np.int64)
+        known, total = sent.value, 0
+        df = np.zeros(terms + 1, np.int64)
         for batch in batches:
-            for b in pieces(batch, 0):
+            for b in pieces(batch, 0, TOGETHER):
                 at, _, _ = counted(b.column(0), known)
                 df += np.bincount(at, minlength=len(df))
                 total += b.num_rows
@@ -363,14 +374,13 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3,
     chosen, stands = labelled_ids(labels, key, label, held_out)
     examples = read_examples(docs, chosen, stands, key, text)
     fitted = Classifier(examples, *document_frequencies(docs, examples.number, text))
-    sent = spark.sparkContext.broadcast((fitted, examples.ids, examples.number))
+    sent = spark.sparkContext.broadcast((fitted, examples.ids, Numbered(examples.number)))
     slim = with_row(docs, doc_id=key, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, ids, number = sent.value
-        known = Numbered(number)
+        model, ids, known = sent.value
         for batch in batches:
-            for b in pieces(batch, 2):
+            for b in pieces(batch, 2, TOGETHER):
                 at, tf, sizes = counted(b.column(2), known)
                 cuts = np.cumsum(sizes)[:-1]
                 scores, evidence = model.scores(list(zip(np.split(at, cuts), np.split(tf, cuts), strict=True)))

@@ -2,10 +2,12 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,3 +388,24 @@ def test_few_or_no_labels(spark, docs_of):
     few = spark.createDataFrame([(104, 1), (105, 0), (106, 0), (106, 1)], "doc_id long, toxic int")
     assert all(0 <= r["score"] <= 1 for r in toxicity.classify(docs, few).collect())
     assert toxicity.classify(docs.limit(0), few).count() == 0
+
+
+def test_terms_are_looked_up_for_many_words_at_once():
+    """The same numbers as word by word, without a look-up for every new word."""
+
+    class Watched(dict):
+        asked = 0
+
+        def get(self, *key):
+            Watched.asked += 1
+            return super().get(*key)
+
+    texts = [None, "", " 12 ", "é É ñ 日本 😀 abcde ABCD abcdef abcdeg", "Handat handatss hand ab*", *(f"w{chr(97 + i)}rd the Thehand" for i in range(26))]
+    number = Watched((t, i) for i, t in enumerate(dict.fromkeys(t for w in ("handat", "hand", "thehand", "abcde", "日本", "wxrd", "é") for t in toxicity.terms_of(w))))
+    at, tf, sizes = toxicity.counted(pa.array(texts), toxicity.Numbered(number))
+    assert Watched.asked == 0
+    ends = sizes.cumsum()
+    for text, a, z in zip(texts, ends - sizes, ends, strict=True):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        want = Counter(number[t] for w in words for t in toxicity.terms_of(w) if t in number)
+        assert dict(zip(at[a:z].tolist(), tf[a:z].tolist(), strict=True)) == want and (at[a:z] == sorted(want)).all()
