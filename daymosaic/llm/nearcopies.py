@@ -34,6 +34,8 @@ SEED, SHINGLE, LEAST = 42, 5, 0.8
 PRINTS, RADIUS, NEXT = 8, 12, 18
 #: Segments are cut as for this radius: three of 21 or 22 bits.
 CUT = 4
+#: Edges whose components one task finds.
+SMALL_GRAPH = 500_000
 #: Ratio of the bounds of a class of sizes.
 STEP = 1.05
 
@@ -168,10 +170,10 @@ def near_links(nodes: DataFrame, sets: DataFrame, edges: DataFrame, least: float
     hubs = spread_join(ways, degrees, "v", "inner", "u").groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
     few = stored(hubs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "few")
     first = stored(similar(fitting(few, nodes, least), sets, least), "near")
-    stars = components(first)
+    stars = components(first, SMALL_GRAPH)
     rest = rooted(rooted(edges.join(few, ["u", "v"], "left_anti"), stars, "u"), stars, "v").where("u_root <> v_root").select("u", "v")
     linked = stored(first.unionByName(similar(fitting(rest, nodes, least), sets, least)), "near")
-    families, roots = components(edges), components(linked)
+    families, roots = components(edges, SMALL_GRAPH), components(linked, SMALL_GRAPH)
     members = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     own = stored(rooted(rooted(members, families, "node", "family"), roots, "node", "root"), "own")
     most = own.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n"))
@@ -228,7 +230,7 @@ def drop_near_copies(docs: DataFrame, least: float = LEAST, key: str = "doc_id",
     edges = stored(candidates(nodes.where("size > 0")).distinct(), "edges")
     named = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     sets = sets_of(docs, stored(nodes.join(named, "node").select("row", "node"), "named"), text)
-    roots = stored(components(near_links(nodes, sets, edges, least)).select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
+    roots = stored(components(near_links(nodes, sets, edges, least), SMALL_GRAPH).select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
     groups = stored(spread_join(rows.select("row", "doc_id", "node"), roots, "node", "left", "row").select("row", "doc_id", F.coalesce("root", "node").alias("root")), "rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
     kept = groups.groupBy("root").agg(best.alias("row")).select("row")

@@ -234,16 +234,38 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v): every node that isn't the least of its component, with the least. edges (u, v) have u > v."""
+def components(edges: DataFrame, small: int = 0) -> DataFrame:
+    """(u, v): every node that isn't the least of its component, with the least. edges (u, v) have u > v.
+
+    small: edges up to which one task does it, which saves the rounds.
+    """
     edges, last = stored(edges, "links"), None
     while True:
         mark = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == last or not mark[0]:
             return edges
+        if last is None and mark[0] <= small:
+            return stored(edges.coalesce(1).mapInArrow(_in_one_task, "u long, v long"), "stars")
         last, edges = mark, stored(_star(stored(_star(edges, True), "stars"), False), "stars")
 
 
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of all edges, by hooking roots to lesser ones and halving paths."""
+    ends = [[c.to_numpy() for c in batch.columns] for batch in batches]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate([x for e in zip(*ends, strict=True) for x in e]), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    own = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["u", "v"])
+
+
 def group_rows(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root, component_id) of every distinct fingerprint; prints (doc_id, fp) is a stored narrow table."""
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
