@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +47,7 @@ FIRST = 6
 #: A term that one example in so many holds has a whole list.
 WHOLE = 16
 #: Documents whose whole lists are multiplied at once, bytes of texts whose words are looked up at once.
-BATCH, TOGETHER = 256, 2 << 20
+BATCH, TOGETHER = 256, 1 << 20
 THRESHOLD = 0.7
 
 
@@ -87,28 +88,31 @@ class Numbered:
         self.total, self.sets = len(number), []
         for letters in (0, 4, 5):
             own = [t for t in number if (len(t) == letters + 1 if t.endswith("*") else not letters)]
-            self.sets.append((letters, pa.array([t.removesuffix("*") for t in own], pa.string()), np.array([number[t] for t in own] + [-1], np.int64)))
+            self.sets.append((letters, pa.array([t.removesuffix("*") for t in own], pa.string()), np.array([number[t] for t in own] + [-1], np.int32)))
 
     def of(self, words: pa.Array) -> np.ndarray:
-        """[words, 3]; -1: unknown, or the word is no longer than that."""
-        out, sizes = np.empty((len(words), 3), np.int64), pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        """[3, words]; -1: unknown, or the word is no longer than that."""
+        out, sizes = np.empty((3, len(words)), np.int32), pc.utf8_length(words).to_numpy(zero_copy_only=False)
         for i, (letters, own, numbers) in enumerate(self.sets):
             some = words
             if letters:  # many words begin alike
                 coded = pc.utf8_slice_codeunits(words, 0, letters).dictionary_encode()
                 some = coded.dictionary
             found = numbers[pc.fill_null(pc.index_in(some, own), -1).to_numpy(zero_copy_only=False)]
-            out[:, i] = np.where(sizes > letters, found[coded.indices.to_numpy()], -1) if letters else found
+            out[i] = np.where(sizes > letters, found[coded.indices.to_numpy()], -1) if letters else found
         return out
 
 
 def counted(texts: pa.Array, known: Numbered) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of the known terms of each text, ascending, how often they occur, and how many there are per text."""
     codes, words, sizes = coded_words(texts)
-    numbers = known.of(words)[codes]
     width = max(1, known.total)
-    keys = (np.repeat(np.arange(len(sizes)), sizes) * width)[:, None] + numbers
-    pairs, tf = np.unique(keys[numbers >= 0], return_counts=True)
+    base, keys = np.repeat(np.arange(len(sizes)) * width, sizes), []
+    for numbers in known.of(words):
+        found = numbers[codes]
+        held = found >= 0
+        keys.append(base[held] + found[held])
+    pairs, tf = np.unique(np.concatenate(keys), return_counts=True)
     return pairs % width, tf, np.bincount(pairs // width, minlength=len(sizes))
 
 
@@ -218,9 +222,9 @@ def read_examples(docs: DataFrame, chosen: DataFrame, stands: dict[int, float],
     return Examples(list(zip(ids, toxic, keys, found.column("terms"), found.column("counts"), strict=True)), stands)
 
 
-def document_frequencies(docs: DataFrame, number: dict[str, int], text: str) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, sent: Broadcast, text: str) -> tuple[np.ndarray, int]:
     """In how many documents each word occurs, and how many documents there are."""
-    sent, terms = docs.sparkSession.sparkContext.broadcast(Numbered(number)), len(number)
+    terms = sent.value.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total = sent.value, 0
@@ -237,7 +241,7 @@ def document_frequencies(docs: DataFrame, number: dict[str, int], text: str) ->
 
     parts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "term long, n long")
     found = parts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per word of the examples at most
-    df = np.zeros(len(number) + 1, np.int64)
+    df = np.zeros(terms + 1, np.int64)
     df[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return df[:-1], int(df[-1])
 
@@ -373,12 +377,13 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3,
     ship(spark)
     chosen, stands = labelled_ids(labels, key, label, held_out)
     examples = read_examples(docs, chosen, stands, key, text)
-    fitted = Classifier(examples, *document_frequencies(docs, examples.number, text))
-    sent = spark.sparkContext.broadcast((fitted, examples.ids, Numbered(examples.number)))
+    terms = spark.sparkContext.broadcast(Numbered(examples.number))
+    fitted = Classifier(examples, *document_frequencies(docs, terms, text))
+    sent = spark.sparkContext.broadcast((fitted, examples.ids))
     slim = with_row(docs, doc_id=key, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, ids, known = sent.value
+        (model, ids), known = sent.value, terms.value
         for batch in batches:
             for b in pieces(batch, 2, TOGETHER):
                 at, tf, sizes = counted(b.column(2), known)
