@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 from daymosaic.llm import nearcopies
 
 from .conftest import ODD
@@ -84,3 +85,51 @@ def test_a_large_group_is_not_compared_in_pairs(spark, docs_of, monkeypatch):
     kept = sorted(r["doc_id"] for r in nearcopies.drop_near_copies(docs_of(docs)).collect())
     assert kept == brute(docs)[0] and 100 < len(kept) < 400
     assert sum(tested) < 20 * len(docs)  # there are 124,750 pairs
+
+
+def test_pairs_grow_with_a_group_not_with_its_square(spark):
+    """One text's near copies, and as many again that links have left apart though a few are as similar to the text."""
+    rng, sets, roots = random.Random(3), {0: set(range(146))}, {0: 0}
+    for i in range(1, 600):
+        gone = rng.randint(1, 10) if i < 300 else rng.randint(8, 18)
+        sets[i] = set(rng.sample(range(146), 146 - gone)) | {1000 * i + j for j in range(gone)}
+        roots[i] = 0 if i < 300 else i
+    own = spark.createDataFrame([(x, 7, roots[x], 0, 600) for x in sets], "node long, family long, root long, main long, members long")
+    table = spark.createDataFrame([(x, sorted(s)) for x, s in sets.items()], "node long, hashes array<long>")
+    found = {(r["u"], r["v"]) for r in nearcopies.alike(own, table, 0.8).collect()}
+    assert {(i, 0) for i in range(300, 600) if jaccard(sets[i], sets[0]) >= 0.8} <= found
+    assert len(found) < 5 * len(sets)
+
+
+@pytest.mark.parametrize("least", [0.6, 0.8])
+def test_pairs_connect_all_that_are_similar(spark, least):
+    """Families with a middle, without one, with several, and of sets that differ in size; some nodes are linked before."""
+    rng, sets, family = random.Random(5), {}, {}
+    for f in range(12):
+        kinds = [{rng.randrange(10**9) for _ in range(rng.choice([10, 40, 100]))} for _ in range(rng.choice([1, 2, 6]))]
+        for _ in range(50):
+            base = sorted(rng.choice(kinds))
+            own = set(rng.sample(base, rng.randint(len(base) * 6 // 10, len(base)))) | {rng.randrange(10**9) for _ in range(rng.randrange(len(base) // 4))}
+            family[len(sets)] = f
+            sets[len(sets)] = own
+    group = {x: x for x in sets}
+
+    def root(x):
+        return x if group[x] == x else root(group[x])
+
+    links = [(a, b) for a in sets for b in range(a) if family[a] == family[b] and jaccard(sets[a], sets[b]) >= least]
+    for a, b in rng.sample(links, len(links) // 20):
+        group[root(a)] = root(b)
+    roots = {x: root(x) for x in sets}
+    for a, b in links:
+        group[root(a)] = root(b)
+    wanted = {x: root(x) for x in sets}
+    own = spark.createDataFrame([(x, family[x], roots[x], 50) for x in sets], "node long, family long, root long, members long")
+    table = spark.createDataFrame([(x, sorted(s)) for x, s in sets.items()], "node long, hashes array<long>")
+    group = dict(roots)
+    for r in nearcopies.similar(nearcopies.alike(own, table, least), table, least).collect():
+        assert r["u"] > r["v"] and (r["u"], r["v"]) in set(links)
+        group[root(r["u"])] = root(r["v"])
+    got = {x: root(x) for x in sets}
+    assert len({(got[x], wanted[x]) for x in sets}) == len(set(wanted.values())) == len(set(got.values()))
+    assert len(set(roots.values())) > len(set(got.values())) > 12
