@@ -40,8 +40,10 @@ FREQUENT, WORDS_BY_TYPES, SHAPES = 131_072, 8, 128
 CONTEXT, WIDTH = 3, 32
 #: Rounds (each on its own part of the documents), noise classes, noise units of a class, positions of a batch, rate.
 ROUNDS, NOISE, INSIDE, BATCH, RATE = 2, 32, 8, 4096, 0.15
-#: Positions that are scored at once.
-SCORED = 8192
+#: Positions that are scored at once, and scores that are made at once.
+SCORED, ROOM = 32_768, 1 << 18
+#: Longest runs of equal rows that are added up place by place.
+SHORT = 4
 #: Steps that a worker takes on a piece of text, however short it is.
 LEAST_STEPS = 24
 #: Results of tasks that are averaged together.
@@ -173,21 +175,34 @@ class Model:
         group = self.class_of[target]
         order = sorting(group, len(self.first))
         h, target, group = self.vectors(context[order]), target[order], group[order]
-        out = _own_log(h @ self.p.T + self.a, group).astype(float)
-        for k, i, j in zip(*runs(group), strict=True):
+        size, out = _length(h), np.zeros(len(h))
+        parts = [(self.p, self.a, group, 0, 0, len(h))]
+        for k, i, j in zip(*(x.tolist() for x in runs(group)), strict=True):
             first, last = self.first[k], self.first[k + 1]
             if last - first > 1:
-                out[i:j] += _own_log(h[i:j] @ self.q[first:last].T + self.b[first:last], target[i:j] - first)
+                parts.append((self.q[first:last], self.b[first:last], target, first, i, j))
+        for q, bias, own, first, start, end in parts:
+            some, most = max(1, ROOM // len(q)), size * _length(q) + float(np.abs(bias).max())
+            for i in range(start, end, some):
+                j = min(i + some, end)
+                out[i:j] += _own_log(h[i:j], q, bias, own[i:j] - first, most)
         result = np.empty(len(out))
         result[order] = out / LOG10
         return result
 
 
-def _own_log(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Logarithm of each row's softmax at its own column; scores are overwritten."""
+def _length(x: np.ndarray) -> float:
+    """The greatest length of a row."""
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
+
+
+def _own_log(h: np.ndarray, q: np.ndarray, bias: np.ndarray, own: np.ndarray, most: float) -> np.ndarray:
+    """Logarithm of each row's softmax of h @ q.T + bias at its own column; most: a bound of the scores' sizes."""
+    scores = h @ q.T
+    scores += bias
     mine = scores[np.arange(len(own)), own]
-    top = scores.max(initial=0)
-    if top > 60 or scores.min(initial=0) < -60:  # else no exponential overflows, nor all of a row vanish
+    # Within 60 no exponential overflows, nor do all of a row vanish.
+    if not most <= 60 and (scores.max(initial=0) > 60 or scores.min(initial=0) < -60):
         peak = scores.max(1)
         scores -= peak[:, None]
         mine -= peak
@@ -247,8 +262,21 @@ class Trainer:
     def _by_row(self, index: np.ndarray, *grads: np.ndarray) -> tuple[np.ndarray, ...]:
         """Distinct rows, and the sums of each gradient for them."""
         order = sorting(index, len(self.m.r))
-        rows, starts, _ = runs(index[order])
-        return rows, *[np.add.reduceat(np.take(g, order, axis=0), starts, axis=0) for g in grads]
+        rows, starts, ends = runs(index[order])
+        count = ends - starts
+        long = np.flatnonzero(count > SHORT)
+        rest = np.flatnonzero(np.repeat(count > SHORT, count) & (np.arange(len(order)) - np.repeat(starts, count) >= SHORT))
+        of_long = np.cumsum(count[long] - SHORT) - (count[long] - SHORT)
+        places = [(has, order[starts[has] + k]) for k in range(1, SHORT) if len(has := np.flatnonzero(count > k))]
+        out = []
+        for g in grads:
+            total = np.take(g, order[starts], axis=0)
+            for has, at in places:
+                total[has] += np.take(g, at, axis=0)
+            if len(long):  # numbers are added in twos, which takes half as many loops
+                total[long] += np.add.reduceat(np.take(g, order[rest], axis=0).view(np.complex64 if g.ndim > 1 else g.dtype), of_long, axis=0).view(g.dtype)
+            out.append(total)
+        return rows, *out
 
     def noise_units(self, classes: np.ndarray) -> np.ndarray:
         """INSIDE units of each class, by their unigram in it."""
