@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..storage import running, shared_path, stored
 
-__all__ = ["maybe_broadcast", "pieces", "release", "running", "shared_path", "ship", "split_words", "spread_join", "steady", "stored", "text_remainder", "texts_of", "uniform", "with_row", "without_rows"]
+__all__ = ["forget", "kept", "maybe_broadcast", "pieces", "release", "running", "shared_path", "ship", "split_words", "spread_join", "steady", "stored", "text_remainder", "texts_of", "uniform", "with_row", "without_rows"]
 
 _shipped: set[str] = set()
 
@@ -136,6 +136,24 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     return codes, words, sizes
 
 
+#: What workers keep from one task to the next.
+_kept: list[dict] = []
+
+
+def kept() -> dict:
+    """A new dictionary that lasts in a worker until one of its tasks forgets."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def forget() -> None:
+    """Drop what other operators' tasks have kept in this worker; for tasks that need the memory themselves."""
+    if any(_kept):
+        for own in _kept:
+            own.clear()
+        release()
+
+
 def release() -> None:
     """Give memory that a finished task no longer uses back to the system; workers are kept for later tasks."""
     pa.default_memory_pool().release_unused()

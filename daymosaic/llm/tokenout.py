@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import maybe_broadcast, pieces, release, shared_path, ship, split_words, stored
+from .common import kept, maybe_broadcast, pieces, release, shared_path, ship, split_words, stored
 
 MAGIC = 0x53_4E_41_52  # "RANS"
 HEADER = np.dtype([("magic", "<u4"), ("version", "<u4"), ("scale", "<u4"), ("lanes", "<u4"), ("table", "<u4"), ("ordinal", "<u4"), ("docs", "<u8"), ("tokens", "<u8"), ("blocks", "<u4"), ("words", "<u8")])
@@ -159,7 +159,7 @@ class ChunkCache:
         return flat, np.diff(bounds)
 
 
-_caches: dict[str, ChunkCache] = {}
+_caches: dict[str, ChunkCache] = kept()
 
 
 def cache_for(path: str, most: int = CACHE) -> ChunkCache:
@@ -350,7 +350,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = END, key
         tokens, counts = np.array([end]), np.array([1])
     table, total = Table.fit(tokens, counts), int(counts.sum())
     raw = table.to_bytes()
-    spark.createDataFrame([(bytearray(raw),)], "b binary").select(F.col("b").cast("string")).write.text(f"{path}/table")
+    # From Arrow, as a list of rows would go through Python workers of their own, which then stay.
+    spark.createDataFrame(pa.table({"b": pa.array([raw], pa.binary())})).select(F.col("b").cast("string")).write.text(f"{path}/table")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

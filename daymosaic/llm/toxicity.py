@@ -14,7 +14,8 @@ vote with their cosine as weight, next to the rate among all examples, and the v
 on the examples' own votes, each without itself.
 
 Scale: texts are read twice, for document frequencies and scores, by narrow maps; the driver and each worker hold the
-examples' vectors and words only (at most some MOST_TOXIC + MOST_CLEAN documents, one per id).
+examples' vectors and words only (at most some MOST_TOXIC + MOST_CLEAN documents, one per id). A worker drops what other
+operators' tasks kept in it.
 
 Defined cases: null, empty or wordless texts, and texts without any word of the examples, get the rate; without labelled
 examples all scores are 0; a document with several labels counts as toxic if any says so; null labels are ignored; of rows
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, release, ship, steady, stored, text_remainder, uniform, with_row, without_rows
+from .common import forget, pieces, release, ship, steady, stored, text_remainder, uniform, with_row, without_rows
 
 #: Bounds of the fitted sample.
 MOST_TOXIC, MOST_CLEAN = 1_000, 2_000
@@ -202,6 +203,7 @@ def read_examples(docs: DataFrame, chosen: DataFrame, stands: dict[int, float],
     once = slim.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for b in pieces(batch, 2):
                 codes, words, sizes = words_in(b.column(2))
@@ -227,6 +229,7 @@ def document_frequencies(docs: DataFrame, sent: Broadcast, text: str) -> tuple[n
     terms = sent.value.total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known, total = sent.value, 0
         df = np.zeros(terms + 1, np.int64)
         for batch in batches:
@@ -246,6 +249,11 @@ def document_frequencies(docs: DataFrame, sent: Broadcast, text: str) -> tuple[n
     return df[:-1], int(df[-1])
 
 
+def signed(x: np.ndarray, most: int) -> np.ndarray:
+    """x in the narrowest signed type that holds up to `most`, as every worker keeps the index."""
+    return x.astype(np.min_scalar_type(-1 - most))
+
+
 class BlockMaxIndex:
     """Lists of the examples' unit vectors: whole ones, and others cut into blocks of examples; a cell is what a term has in
     a block, and `ceiling` its greatest weight."""
@@ -265,11 +273,12 @@ class BlockMaxIndex:
         self.whole[self.place[term[often]], who[often]] = weight[often]
         who, term, weight = who[~often], term[~often], weight[~often]
         order = np.lexsort((who, term))
-        self.who, self.weight = who[order].astype(np.int32), weight[order]
-        cell = term[order] * self.blocks + self.who // BLOCK
-        names, self.first = np.unique(cell, return_index=True)
-        self.many = np.diff(np.append(self.first, len(cell)))
-        self.block = (names % self.blocks).astype(np.int32)
+        who, self.weight = who[order], weight[order]
+        cell = term[order] * self.blocks + who // BLOCK
+        names, first = np.unique(cell, return_index=True)
+        self.who, self.first = signed(who, self.n), signed(first, len(cell))
+        self.many = signed(np.diff(np.append(first, len(cell))), BLOCK)
+        self.block = signed(names % self.blocks, self.blocks)
         self.ceiling = np.maximum.reduceat(self.weight, self.first) if len(cell) else np.zeros(0)
         self.cells = np.searchsorted(names, np.arange(terms + 1) * self.blocks)  # where a term's cells begin
 
@@ -383,6 +392,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3,
     slim = with_row(docs, doc_id=key, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         (model, ids), known = sent.value, terms.value
         for batch in batches:
             for b in pieces(batch, 2, TOGETHER):
