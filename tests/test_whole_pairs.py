@@ -1,5 +1,6 @@
 """Queries over all schedules against loops, on a small event log."""
 
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -73,3 +74,28 @@ def test_cost_in_parts_is_the_plans():
     rng = np.random.default_rng(0)
     x, y = rng.random((37, 2)), rng.random((23, 2))
     assert sinkhorn.transport_cost(x, y, cells=50) == pytest.approx(sinkhorn.transport_plan(x, y)[0])
+
+
+@pytest.mark.parametrize("shape", [(90, 60, 2, 30), (40, 50, 1, 1440), (80, 70, 3, 3), (9, 11, 2, 10**6)])
+def test_cost_along_axes_is_the_plans(shape):
+    n, m, dims, at = shape
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, at, (n, dims)) / at, rng.integers(0, at, (m, dims)) / at
+    for rounds in (1, 10, 100):
+        want = sinkhorn.transport_plan(x, y, max_iter=rounds)[0]
+        assert sinkhorn.transport_cost(x, y, max_iter=rounds) == pytest.approx(want)
+        assert sinkhorn.transport_cost(x, y, max_iter=rounds, cells=9) == pytest.approx(want)
+
+
+def test_a_day_of_points_does_not_grow_with_episodes():
+    rng = np.random.default_rng(0)
+    points = lambda n: rng.integers(0, 96, (n, 2)) / 96
+    began = time.perf_counter()
+    value = sinkhorn.transport_cost(points(200_000), points(150_000))  # 30 billion pairs
+    assert 0 < value < 0.2 and time.perf_counter() - began < 20
+
+
+def test_an_activity_of_one_side_only(spark):
+    rows = [("p", "a", [0.0, 0.0]), ("p", "b", [0.5, 0.0]), ("q", "a", [0.0, 0.0])]
+    got = {r["k"]: r["distance"] for r in sinkhorn.sinkhorn(spark.createDataFrame(rows, "k string, side string, x array<double>"), ["k"]).collect()}
+    assert got["p"] == pytest.approx(0.5) and got["q"] is None
