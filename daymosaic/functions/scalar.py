@@ -5,11 +5,15 @@ Rows: keys, v (value), wa and wb (weights on either side).
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import stored
+
 
 def weight_distances(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, mae, mse): mean absolute and squared difference of weights over the common support."""
@@ -42,14 +46,33 @@ def random_directions(size: int, projections: int = 100, seed: int = 0) -> np.nd
     return directions / np.linalg.norm(directions, axis=1, keepdims=True)
 
 
+def sliced_distances(points: DataFrame, base: str, others: list[str], projections: int = 100, seed: int = 0) -> dict[str, float | None]:
+    """Mean Wasserstein distance over random directions of base from each of the others; points: (side, x array<double>).
+
+    Equal points are one. All sides share one sort by direction: points of a third side only cut a step in two.
+    """
+    sides = [base, *others]
+    count = [F.count_if(F.col("side") == s).alias(f"w{i}") for i, s in enumerate(sides)]
+    distinct = stored(points.where(F.col("side").isin(sides)).groupBy("x").agg(*count), "points")
+    size, *totals = distinct.agg(F.max(F.size("x")), *[F.sum(f"w{i}") for i in range(len(sides))]).first()
+    if size is None:
+        return dict.fromkeys(others)
+    directions = random_directions(size, projections, seed)
+    dot = lambda d: reduce(lambda s, c: s + c, [F.col("x")[k] * F.lit(float(c)) for k, c in enumerate(d)])
+    weights = [f"w{i}" for i in range(len(sides))]
+    tasks = 4 * points.sparkSession.sparkContext.defaultParallelism
+    spread = distinct.repartition(tasks).select(F.posexplode(F.array(*[dot(d) for d in directions])).alias("direction", "v"), *weights)
+    order = Window.partitionBy("direction").orderBy("v")
+    share = lambda i: F.sum(f"w{i}").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(totals[i] or None)
+    # Of rows with the same v only the last has a step.
+    steps = {f"s{i}": F.abs(share(0) - share(i)) * (F.lead("v").over(order) - F.col("v")) for i in range(1, len(sides))}
+    found = spread.repartition(2 * projections, "direction").withColumns(steps).agg(*[F.sum(F.coalesce(s, F.lit(0.0))).alias(s) for s in steps]).first()
+    return {s: found[f"s{i}"] / projections if totals[0] and totals[i] else None for i, s in enumerate(sides) if i}
+
+
 def sliced_wasserstein(points: DataFrame, projections: int = 100, seed: int = 0) -> float:
     """Mean Wasserstein distance of two point sets over random directions; points: (side 'a' or 'b', x array<double>)."""
-    directions = random_directions(points.select(F.size("x")).first()[0], projections, seed)
-    table = F.array(*[F.array(*[F.lit(float(c)) for c in d]) for d in directions])
-    dot = lambda d: F.aggregate(F.zip_with("x", d, lambda a, b: a * b), F.lit(0.0), lambda s, c: s + c)
-    spread = points.select("side", F.posexplode(F.transform(table, dot)).alias("direction", "v"))
-    rows = spread.select("direction", "v", (F.col("side") == "a").cast("long").alias("wa"), (F.col("side") == "b").cast("long").alias("wb"))
-    return wasserstein(rows, ["direction"]).agg(F.avg("distance")).first()[0]
+    return sliced_distances(points, "a", ["b"], projections, seed)["b"]
 
 
 def mape_scalar(a: np.ndarray, b: np.ndarray) -> float:

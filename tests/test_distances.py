@@ -67,6 +67,28 @@ def test_sliced_and_entropic(spark):
     assert cost == 0 and plan.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_sides_share_a_sort(spark):
+    rng = np.random.default_rng(0)
+    sides = {s: rng.integers(0, 4, (n, 2)) / 4 for s, n in (("o", 40), ("m", 25), ("n", 30))}
+    rows = [(s, [float(v) for v in x]) for s, points in sides.items() for x in points]
+    points = spark.createDataFrame(rows, "side string, x array<double>")
+    got = scalar.sliced_distances(points, "o", ["m", "n", "absent"], 12)
+    for m in ("m", "n"):
+        lines = [(sides["o"] @ d, sides[m] @ d) for d in scalar.random_directions(2, 12)]
+        want = np.mean([emd_line(a, np.ones(len(a)), b, np.ones(len(b))) for a, b in lines])
+        assert got[m] == pytest.approx(want)
+    assert got["absent"] is None
+
+
+def test_equal_points_are_spread_over_directions_once(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 2 = 0, 'a', 'b') as side", "array(cast(id % 5 as double), cast(id % 3 as double)) as x")
+    handed, repartition = [], type(rows).repartition
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(rows), "repartition", lambda df, *a: handed.append(df.count()) or repartition(df, *a))
+        scalar.sliced_wasserstein(rows, 8)
+    assert handed[-1] == 15 * 8  # 20,000 * 8 before
+
+
 THREE = pd.DataFrame([(0, "home", 0, 24), (1, "home", 0, 8), (1, "work", 8, 16), (1, "home", 16, 24), (2, "home", 0, 6), (2, "work", 6, 14), (2, "shop", 14, 18), (2, "home", 18, 24)], columns=["pid", "act", "start", "end"])
 
 
